@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.bpe_stream import op3_bpe_stream
 from plumbline.llm.quality_bands import op7_quality_bands
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe_stream": op3_bpe_stream,
     "op7_quality_bands": op7_quality_bands,
 }
 
