@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.bpe_stream import op3_bpe_stream
 from plumbline.llm.quality_bands import op7_quality_bands
+from plumbline.llm.token_files import op4_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_stream": op3_bpe_stream,
+    "op4_token_files": op4_token_files,
     "op7_quality_bands": op7_quality_bands,
 }
 
