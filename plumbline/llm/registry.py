@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.bpe_stream import op3_bpe_stream
 from plumbline.llm.quality_bands import op7_quality_bands
 from plumbline.llm.token_files import op4_token_files
-from plumbline.llm import warc
+from plumbline.llm import substring_dedup, warc
+from plumbline.llm.substring_dedup import op2_substring_dedup
 from plumbline.llm.warc import op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe_stream": op3_bpe_stream,
     "op4_token_files": op4_token_files,
     "op5_warc": op5_warc,
     "op7_quality_bands": op7_quality_bands,
 }
 
-SQL: dict[str, str] = {"op5_warc": warc.SQL}
+SQL: dict[str, str] = {"op2_substring_dedup": substring_dedup.SQL, "op5_warc": warc.SQL}

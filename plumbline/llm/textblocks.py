@@ -18,19 +18,20 @@ BLOCK = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240401))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_powers: dict[int, np.ndarray] = {}
 _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 TO_LOWER = bytes.maketrans(*_LOWER)
 
 
-def powers(n: int) -> np.ndarray:
-    """_BASE ** 0 .. n, kept between calls."""
-    global _powers
-    if len(_powers) <= n:
-        steps = np.full(max(n, BLOCK) + 2, _BASE, np.uint64)
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 .. n, kept between calls."""
+    held = _powers.get(int(base))
+    if held is None or len(held) <= n:
+        steps = np.full(max(n, BLOCK + (1 << 17)) + 2, base, np.uint64)
         steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-    return _powers
+        held = _powers[int(base)] = np.multiply.accumulate(steps)
+    return held
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,10 +54,9 @@ def _hash_buffer(buf: bytes) -> np.ndarray:
     starts = np.empty_like(ends)
     starts[0], starts[1:] = 0, ends[:-1] + 1
     n = len(a)
-    pw = powers(n)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[a] * pw[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * pw[n - starts])
+    np.cumsum(_BYTE[a] * powers(_BASE, n)[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(_INVERSE, n)[starts])  # as if the word stood at 0
 
 
 def split(text: bytes | None, lower: bool) -> list[bytes]:
