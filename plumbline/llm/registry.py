@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.bpe_stream import op3_bpe_stream
+from plumbline.llm.dart_minhash import op6_dart_minhash
 from plumbline.llm.quality_bands import op7_quality_bands
 from plumbline.llm.token_files import op4_token_files
 from plumbline.llm import substring_dedup, warc
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_stream": op3_bpe_stream,
     "op4_token_files": op4_token_files,
     "op5_warc": op5_warc,
+    "op6_dart_minhash": op6_dart_minhash,
     "op7_quality_bands": op7_quality_bands,
 }
 
