@@ -2,8 +2,9 @@
 
 The ids of all documents, each followed by the end id, form one stream in
 ascending doc_id order, cut into sequences of ``WIDTH`` ids; a mask of the
-same shape marks the ids that belong to the file's documents (the last
-sequence of a file is padded by zeros outside the mask).  A file is an Arrow
+same shape, of packed bits, marks the ids that belong to the file's documents
+(the last sequence of a file is padded by zeros outside the mask).  Ids take 16
+bits where the vocabulary allows it, else 32.  A file is an Arrow
 IPC file of record batches with the columns ``ids`` and ``mask``; being
 fixed-size lists, sequence i lies at a computed offset, so a memory-mapped
 file gives it without copying or parsing (``Sequences``).  Next to the files
@@ -123,11 +124,11 @@ def encoder(name: str) -> Encoder:
 class Writer:
     """Fixed-size-list batches of one file; memory for BATCH sequences."""
 
-    def __init__(self, uri: str, width: int) -> None:
+    def __init__(self, uri: str, width: int, small: bool) -> None:
         fs, path = opened(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         self.width, self.held, self.count = width, bytearray(), 0
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), width)), ("mask", pa.list_(pa.uint8(), width))])
+        self.schema = pa.schema([("ids", pa.list_(pa.uint16() if small else pa.uint32(), width)), ("mask", pa.list_(pa.bool_(), width))])
         self.out = fs.open_output_stream(path)
         self.file = pa.ipc.new_file(self.out, self.schema)
 
@@ -141,8 +142,9 @@ class Writer:
 
     def _write(self, raw: bytes, real: int) -> None:
         ids = np.frombuffer(raw, "<u4")
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:real] = 1
+        mask = np.zeros(len(ids), bool)
+        mask[:real] = True
+        ids = ids.astype(self.schema.field("ids").type.value_type.to_pandas_dtype())
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.width) for x in (ids, mask)]
         self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
@@ -167,7 +169,7 @@ class Sequences:
     def batch(self, k: int, column: str = "ids") -> np.ndarray:
         """Batch k as a two-dimensional view of the file."""
         values = self.file.get_batch(k).column(column).flatten()
-        return values.to_numpy(zero_copy_only=True).reshape(-1, self.width)
+        return values.to_numpy(zero_copy_only=column == "ids").reshape(-1, self.width)
 
     def sequence(self, i: int, column: str = "ids") -> np.ndarray:
         return self.batch(i // BATCH, column)[i % BATCH]
@@ -198,7 +200,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, width: int =
         uri = f"{folder}/part-{part:06d}-{context.taskAttemptId()}.arrow"
         enc, out, rows = encoder(tokenizer), None, []
         for ids, raws in tb.blocks(batches, "doc_id", "text"):
-            out = out or Writer(uri, width)
+            out = out or Writer(uri, width, enc.tk.get_vocab_size() <= 1 << 16)
             for i, raw in zip(ids, enc.encode([(r or b"").decode("utf-8", "replace") for r in raws]), strict=True):
                 at = out.count
                 out.add(raw + tail)
@@ -230,7 +232,7 @@ def read(index: DataFrame) -> DataFrame:
                     name, data = file, Sequences(file)
                 crc = 0
                 for part in data.span(at, n):
-                    crc = zlib.crc32(part, crc)
+                    crc = zlib.crc32(part.astype("<u4"), crc)
                 crcs.append(crc)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crcs, pa.int64())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
