@@ -11,10 +11,12 @@ from plumbline.llm.dart_minhash import op6_dart_minhash
 from plumbline.llm.quality_bands import op7_quality_bands
 from plumbline.llm.token_files import op4_token_files
 from plumbline.llm import substring_dedup, warc
+from plumbline.llm.suffix_tree_lm import op1_suffix_tree_lm
 from plumbline.llm.substring_dedup import op2_substring_dedup
 from plumbline.llm.warc import op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree_lm": op1_suffix_tree_lm,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe_stream": op3_bpe_stream,
     "op4_token_files": op4_token_files,
