@@ -10,7 +10,8 @@ from plumbline.llm.bpe_stream import op3_bpe_stream
 from plumbline.llm.dart_minhash import op6_dart_minhash
 from plumbline.llm.quality_bands import op7_quality_bands
 from plumbline.llm.token_files import op4_token_files
-from plumbline.llm import substring_dedup, warc
+from plumbline.llm import decontaminate, substring_dedup, warc
+from plumbline.llm.decontaminate import op10_winnowing
 from plumbline.llm.suffix_tree_lm import op1_suffix_tree_lm
 from plumbline.llm.substring_dedup import op2_substring_dedup
 from plumbline.llm.warc import op5_warc
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_dart_minhash": op6_dart_minhash,
     "op7_quality_bands": op7_quality_bands,
+    "op10_winnowing": op10_winnowing,
 }
 
-SQL: dict[str, str] = {"op2_substring_dedup": substring_dedup.SQL, "op5_warc": warc.SQL}
+SQL: dict[str, str] = {"op2_substring_dedup": substring_dedup.SQL, "op5_warc": warc.SQL, "op10_winnowing": decontaminate.SQL}
