@@ -69,7 +69,8 @@ def fingerprints(df: DataFrame, keep: list[str]) -> DataFrame:
     low = lambda x, y: F.least(x, y)
     for name, of, by in (("m2", "g4", 1), ("m4", "m2", 2), ("m7", "m4", 3)):
         df = df.withColumn(name, paired(F.col(of), by, low))
-    return df.withColumn("marks", F.array_distinct("m7")).select(*keep, F.explode("marks").alias("mark"))
+    # explode would infer a filter on the array, which the optimizer pushes down and so repeats the whole chain
+    return df.withColumn("marks", F.array_distinct("m7")).select(*keep, F.explode_outer("marks").alias("mark"))
 
 
 def windows(df: DataFrame, keep: list[str], length: Column) -> DataFrame:
@@ -92,7 +93,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hashed = lambda d: F.col({1: "g1", 2: "g2", 4: "g4"}[n]) if n != 3 else paired(F.col("g2"), 1, lambda x, y: F.xxhash64(x, y))  # noqa: B023, E731
         of_size = F.size("ws") == n if n < GRAM else F.size("ws").between(GRAM, WINDOW - 1)
         anchors = grammed.where(of_size).select(F.element_at(hashed(grammed), 1).alias("mark")).distinct()
-        touched = touched.union(of_docs.select("row_key", F.explode(F.array_distinct(hashed(of_docs))).alias("mark")).join(side(anchors), "mark", "left_semi").select("row_key"))
+        touched = touched.union(of_docs.select("row_key", F.explode_outer(F.array_distinct(hashed(of_docs))).alias("mark")).join(side(anchors), "mark", "left_semi").select("row_key"))
     near = written(docs.join(touched.distinct(), "row_key", "left_semi"), "touched")
     wanted = windows(items, ["item_id"], F.least(F.size("ws"), F.lit(WINDOW))).select("item_id", "length", F.col("window").alias("item_window"), F.xxhash64("window").alias("hash")).distinct()
     lengths = [r[0] for r in wanted.select("length").distinct().collect()]  # at most WINDOW values

@@ -13,7 +13,7 @@ removed; windows are judged on the input.
    hash bits, once for each document, and grouped exactly by these bits.
    Beyond about MOST_CELLS windows the filter lets more windows pass; results
    stay the same, and the exact pass alone carries the load.
-3. The positions found come together by document and the words go.
+3. The positions found come together by document (one row each) and the words go.
 
 A window that a third of all documents share is spread over the buckets of its
 many hashes; a window inside one document is sent once.
@@ -183,24 +183,40 @@ def found(docs: DataFrame, n: int = N) -> DataFrame:
             least = ids[np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))]
             late = ids > least
             ids, pos = ids[late], pos[late]
-            order = np.lexsort((pos, ids))
-            ids, pos = ids[order], pos[order]
-            cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            home = tb.mix(ids.astype(np.uint64)) % np.uint64(buckets)
+            order = np.argsort(home, kind="stable")
+            ids, pos, home = ids[order], pos[order], home[order]
+            cuts = np.flatnonzero(home[1:] != home[:-1]) + 1
             if len(ids):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[np.append(0, cuts)]), pa.array([p.astype("<u4").tobytes() for p in np.split(pos, cuts)], pa.binary())], names=["doc_id", "part"])
+                blobs = [i.astype("<i8").tobytes() + p.astype("<u4").tobytes() for i, p in zip(np.split(ids, cuts), np.split(pos, cuts), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(home[np.append(0, cuts)].astype(np.int32)), pa.array(blobs, pa.binary())], names=["home", "blob"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, pos = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                m = len(blob) // 12
+                ids.append(np.frombuffer(blob, "<i8", m))
+                pos.append(np.frombuffer(blob, "<u4", m, 8 * m))
+        i, p = np.concatenate(ids), np.concatenate(pos)
+        if len(i):
+            order = np.argsort(i, kind="stable")
+            i, p = i[order], p[order]
+            cuts = np.flatnonzero(i[1:] != i[:-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(i[np.append(0, cuts)]), pa.array([x.astype("<u4").tobytes() for x in np.split(p, cuts)], pa.binary())], names=["doc_id", "positions"])
 
     sent = docs.select("doc_id", "text").mapInArrow(send, "bucket int, blob binary")
-    late = sent.repartition(buckets, "bucket").mapInArrow(group, "doc_id long, part binary")
-    return late.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
+    late = sent.repartition(buckets, "bucket").mapInArrow(group, "home int, blob binary")
+    return late.repartition(buckets, "home").mapInArrow(gather, "doc_id long, positions binary")
 
 
-def kept_words(raw: bytes | None, parts: list[bytes] | None, n: int) -> tuple[int, list[bytes]]:
+def kept_words(raw: bytes | None, positions: bytes | None, n: int) -> tuple[int, list[bytes]]:
     """The number of words, and those that stay."""
     words = tb.split(raw, False)
-    if not parts:
+    if not positions:
         return len(words), words
     h = windows([raw], n)[2]
-    starts = np.frombuffer(b"".join(parts), "<u4").astype(np.int64)
+    starts = np.frombuffer(positions, "<u4").astype(np.int64)
     starts = np.flatnonzero(np.isin(h, h[starts]))
     edge = np.zeros(len(words) + 1, np.int64)
     np.add.at(edge, starts, 1)
@@ -227,8 +243,8 @@ def dedup_digests(docs: DataFrame, n: int = N) -> DataFrame:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for i, packed, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "parts")), strict=True):
-                total, stay = kept_words(unpacker.decompress(packed), parts, n)
+            for i, packed, positions in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "positions")), strict=True):
+                total, stay = kept_words(unpacker.decompress(packed), positions, n)
                 rows.append((i, total, total - len(stay), hashlib.sha256(b" ".join(stay)).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             if rows:
@@ -239,14 +255,14 @@ def dedup_digests(docs: DataFrame, n: int = N) -> DataFrame:
 
 def dedup(docs: DataFrame, n: int = N) -> DataFrame:
     """docs with each text's kept words, joined by single spaces where words were removed; other texts stay as they are, as do other columns."""
-    late = found(docs, n).withColumnRenamed("doc_id", "late_id__").withColumnRenamed("parts", "late_parts__")
+    late = found(docs, n).withColumnRenamed("doc_id", "late_id__").withColumnRenamed("positions", "late__")
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for raw, parts in zip(binaries_of(batch), batch.column("late_parts__").to_pylist(), strict=True):
-                texts.append(raw if not parts else b" ".join(kept_words(raw, parts, n)[1]))
+            for raw, late in zip(binaries_of(batch), batch.column("late__").to_pylist(), strict=True):
+                texts.append(raw if not late else b" ".join(kept_words(raw, late, n)[1]))
             field = batch.schema.field("text")
             out = batch.select(names)
             yield out.set_column(names.index("text"), field, pa.array(texts, pa.binary()).cast(field.type))
