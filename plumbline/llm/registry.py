@@ -10,6 +10,7 @@ from plumbline.llm.bpe_stream import op3_bpe_stream
 from plumbline.llm.dart_minhash import op6_dart_minhash
 from plumbline.llm.quality_bands import op7_quality_bands
 from plumbline.llm.token_files import op4_token_files
+from plumbline.llm.toxicity_knn import op8_toxicity_knn
 from plumbline.llm import decontaminate, substring_dedup, warc
 from plumbline.llm.decontaminate import op10_winnowing
 from plumbline.llm.suffix_tree_lm import op1_suffix_tree_lm
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_dart_minhash": op6_dart_minhash,
     "op7_quality_bands": op7_quality_bands,
+    "op8_toxicity_knn": op8_toxicity_knn,
     "op10_winnowing": op10_winnowing,
 }
 
