@@ -41,7 +41,7 @@ from plumbline.llm.shared import new_dir, shuffle_partitions, table, written
 TOKENIZER, END, WIDTH = "byte_bpe_50k.json", 0, 2048
 #: Sequences of a record batch; documents whose ids are held at once while reading.
 BATCH = 256
-KEPT, LONG = 400_000, 48
+KEPT, LONG = 900_000, 48
 DOUBLE = re.compile(r"\s\s")
 
 INDEX = "doc_id long, file string, part int, at long, n_tokens long, file_tokens long"
