@@ -27,7 +27,7 @@ Links go through joins that AQE splits, so a class may hold a third of all
 rows; nothing but counts reaches the driver.
 
 Cases: a document of one to four words is one shingle; a document without words (null,
-empty) is in a class of its own.  doc_id is a key.  An empty table gives an empty
+empty) is in a class of its own.  doc_id is a key; a row without one has no class (null) and stays.  An empty table gives an empty
 result; other columns are carried by ``deduped`` and not read by ``classes``.
 """
 
@@ -224,7 +224,7 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), same_words_id (smallest doc_id with the same words)."""
     sig = written(signed(docs), "signatures")
-    first = written(sig.where("words_key IS NOT NULL").groupBy("words_key").agg(F.min(F.struct("doc_id", "bands")).alias("f")).select("words_key", "f.doc_id", "f.bands"), "texts")
+    first = written(sig.where("words_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("words_key").agg(F.min(F.struct("doc_id", "bands")).alias("f")).select("words_key", "f.doc_id", "f.bands"), "texts")
     rows = first.select(F.col("doc_id").alias("a"), F.explode("bands").alias("key"))
     heads = rows.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
     members = written(rows.join(heads, "key"), "buckets")
@@ -244,14 +244,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         links, pairs = links.union(new), pairs.union(more)
         found = components(links)
     same = sig.select("doc_id", "words_key").join(first.select("words_key", F.col("doc_id").alias("same")), "words_key", "left")
-    same = same.select("doc_id", F.coalesce("same", "doc_id").alias("same_words_id"))
+    same = same.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("same", "doc_id")).alias("same_words_id"))
     return same.join(found, F.col("same_words_id") == F.col("v"), "left").select("doc_id", F.coalesce("class", "same_words_id").alias("class_id"), "same_words_id")
 
 
 def deduped(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the smallest doc_id of each class; all columns stay as they are."""
-    stay = classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id__"))
-    return docs.join(stay, F.col("doc_id") == F.col("kept_id__"), "left_semi")
+    gone = classes(docs, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id__"))
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id__"), "left_anti")
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

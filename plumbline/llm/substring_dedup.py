@@ -19,7 +19,7 @@ A window that a third of all documents share is spread over the buckets of its
 many hashes; a window inside one document is sent once.
 
 Cases: null counts as the empty text; a document of fewer than N words loses
-nothing; words are compared byte by byte.  doc_id is a key; rows that repeat a
+nothing; words are compared byte by byte.  doc_id is a key; a row without one loses nothing and takes nothing from others; rows that repeat a
 doc_id with the same text get the same result.  An empty table gives an empty
 result.  Other columns are carried by ``dedup`` and not read by the query.
 """
@@ -130,6 +130,7 @@ def repeated(rows: list[np.ndarray], h: np.ndarray, bits: int) -> np.ndarray:
 def found(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, positions (sorted unsigned 32-bit integers): windows that a smaller doc_id has; each distinct window of a document once."""
     spark = docs.sparkSession
+    docs = docs.where("doc_id IS NOT NULL")
     bits = sketch_bits(docs)
     shared = spark.sparkContext.broadcast(sketch(docs, n, bits))
     buckets = max(shuffle_partitions(spark), (1 << bits) >> 22)

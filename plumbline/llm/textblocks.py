@@ -116,6 +116,11 @@ def binaries(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if large else pa.binary()).to_pylist()
 
 
+def as_ids(ids: list[int | None], absent: int = -(1 << 63)) -> np.ndarray:
+    """ids as an array; absent stands for null."""
+    return np.array([absent if i is None else i for i in ids], np.int64)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], key: str, text: str, size: int = 2 << 20) -> Iterator[tuple[list[int], list[bytes | None]]]:
     """(keys, texts) of some MB at most, or one longer text; null texts stay null."""
     for batch in batches:

@@ -16,7 +16,7 @@ files before (one number a file).  A file's name holds its task attempt, and
 only the names that tasks report count: a lost executor's half-written files
 are never read.
 
-Cases: null counts as the empty text (its ids are just the end id).  Repeated
+Cases: rows without doc_id come first; a null text counts as the empty text (its ids are just the end id).  Repeated
 doc_ids stay next to each other, in the order of their bytes.  An empty table
 gives no files and an empty result.  Columns beyond ``doc_id`` and ``text``
 are not read.  Long texts are encoded chunk by chunk.
@@ -207,9 +207,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, width: int =
                 rows.append((i, at, out.count - at))
         if out:
             out.close()
-            i, at, n = (np.fromiter((r[k] for r in rows), np.int64, len(rows)) for k in range(3))
+            i, at, n = (pa.array([r[k] for r in rows], pa.int64()) for k in range(3))
             fixed = [pa.array([v] * len(rows), t) for v, t in ((uri, pa.string()), (part, pa.int32()), (out.count, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array(i), fixed[0], fixed[1], pa.array(at), pa.array(n), fixed[2]], names=[x.split()[0] for x in INDEX.split(", ")])
+            yield pa.RecordBatch.from_arrays([i, fixed[0], fixed[1], at, n, fixed[2]], names=[x.split()[0] for x in INDEX.split(", ")])
 
     n = partitions or shuffle_partitions(spark)
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")

@@ -15,7 +15,7 @@
 
 Labels, lang, source and doc_id are never inputs of a score.
 
-Cases: null and empty texts are texts without terms.  Without labels, or with labels of
+Cases: a row without doc_id is no example and not held out; null and empty texts are texts without terms.  Without labels, or with labels of
 one kind alone, every score is the prior (0.5 over nothing, else the share with one added
 to each kind).  Rows of ``labels`` that repeat a doc_id count once, as toxic if one says so.
 Repeated documents are scored alike; an empty table gives an empty result; other
@@ -41,8 +41,8 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, similarities array<double>"
 
 
-def held_out(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 5 == 0
+def held_out(doc_id: int | None) -> bool:
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
 def hashed(raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +183,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Index:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, truth = shared.value
         for keys, raws in tb.blocks(batches, "doc_id", "text"):
-            keys = np.asarray(keys, np.int64)
+            keys = tb.as_ids(keys)
             use = np.flatnonzero(np.isin(keys, ids))
             h, doc, _ = distinct(*hashed([raws[i] for i in use]))
             kind = truth[np.searchsorted(ids, keys[use])][doc] if len(use) else none
@@ -200,7 +200,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Index:
         (ids, _), terms = shared.value, shared_terms.value
         df, seen = np.zeros(len(terms), np.int64), 0
         for keys, raws in tb.blocks(batches, "doc_id", "text"):
-            keys = np.asarray(keys, np.int64)
+            keys = tb.as_ids(keys)
             h, doc = hashed(raws)
             at = np.minimum(np.searchsorted(terms, h), max(len(terms) - 1, 0))
             hit = terms[at] == h if len(terms) else np.zeros(len(h), bool)

@@ -13,7 +13,7 @@ Content-Length, hashed as it passes and verified against its block and payload
 digests; a record that is cut, misframed or altered raises ``WarcError``.
 Memory is one piece and, where payloads are asked for, one payload.
 
-Cases: a null html is an empty payload (a response); a null url leaves out
+Cases: a row without page_id is a response without number; a null html is an empty payload (a response); a null url leaves out
 WARC-Target-URI and reads back as null; control characters and spaces in a
 url are percent-encoded.  Repeated rows each get a record.  An empty table
 gives an empty result.  Other columns are not read.
@@ -68,12 +68,12 @@ def safe_url(url: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def member(page_id: int, url: str | None, payload: bytes, refers_to: int | None, sha1: bytes, size: int) -> bytes:
+def member(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, sha1: bytes, size: int) -> bytes:
     """One record as a gzip member of its own; a revisit keeps the HTTP head alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
         *([f"WARC-Target-URI: {safe_url(url)}"] if url is not None else []), "Content-Type: application/http; msgtype=response",
         *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"] if refers_to is not None else []),
         f"WARC-Payload-Digest: {_digest(sha1)}", f"WARC-Block-Digest: {_digest(hashlib.sha1(block).digest())}", f"Content-Length: {len(block)}", "", "",
@@ -205,7 +205,7 @@ def read(manifest: DataFrame) -> DataFrame:
             with fs.open_input_stream(path) as stream:
                 for r in Reader(stream):
                     h = r.headers
-                    number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
+                    number = lambda x: int(x[10:-1]) if len(x) > 11 else None  # noqa: E731  <urn:page:ID>
                     revisit = h["WARC-Type"] == "revisit"
                     sha1 = _hex(h["WARC-Payload-Digest"]) if revisit else r.payload_sha1
                     size = int(r.http["Content-Length"]) if revisit else r.payload_size

@@ -307,3 +307,18 @@ def test_pipeline_stages(spark, tmp_path):
     out = rows(corpus_pipeline.run(spark, str(tmp_path)))
     assert set(out) == {5, 9, 12}
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_rows_without_id(spark):
+    docs = spark.createDataFrame([(None, TEXTS[5]), (3, TEXTS[5]), (None, None), (4, TEXTS[5])], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1, 1), (None, 0, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(None, " ".join(words(TEXTS[5])[:12])), (None, None)], "item_id long, text string")
+    for df in (
+        quality_bands.quality(docs), bpe_stream.round_trip(docs), token_files.read(token_files.write(docs, new_dir(spark, "t"))), substring_dedup.dedup_digests(docs), substring_dedup.dedup(docs),
+        dart_minhash.classes(docs), suffix_tree_lm.scored(docs), toxicity_knn.scored(docs, labels), decontaminate.judged(docs, bench),
+    ):
+        assert df.count() == 4 and df.where("doc_id IS NULL").count() == 2
+    assert sorted((r.doc_id or -1) for r in dart_minhash.deduped(docs).collect()) == [-1, -1, 3]
+    pages = spark.createDataFrame([(None, "http://a.net/", "x" * 2000), (1, None, "x" * 2000), (None, None, None)], "page_id long, url string, html string")
+    assert warc.read(warc.write(pages, new_dir(spark, "w"))).where("page_id IS NULL").count() == 2
+    assert url_rules.judged(pages, labels).count() == 3
