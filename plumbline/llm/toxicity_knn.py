@@ -37,6 +37,8 @@ from plumbline.llm import textblocks as tb
 from plumbline.llm.shared import table
 
 EXAMPLES, TERMS, CHI2, LEAST_DF, K, BLOCK_IDS, PRIOR_WEIGHT = 20_000, 20_000, 30.0, 4, 10, 256, 0.3
+#: Blocks opened at once while searching.
+OPENED = 16
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, similarities array<double>"
 
@@ -91,21 +93,25 @@ class Index:
         """The k examples of highest positive cosine, exactly."""
         bounds = q @ self.most[t]
         best_rows, best = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) >= k and bounds[b] < best[k - 1] - 1e-12):
+        order = np.argsort(-bounds, kind="stable")
+        for at in range(0, len(order), OPENED):
+            some = order[at : at + OPENED]
+            least = best[k - 1] - 1e-12 if len(best) >= k else 0.0
+            some = some[(bounds[some] > 0) & (bounds[some] >= least)]
+            if not len(some):
                 break
-            sums = np.zeros(BLOCK_IDS)
-            for term, weight in zip(t.tolist(), q.tolist(), strict=True):
-                g = term * self.blocks + b
-                lo, hi = self.starts[g], self.starts[g + 1]
-                if hi > lo:
-                    sums[self.rows[lo:hi] - b * BLOCK_IDS] += weight * self.weights[lo:hi]
-            found = np.flatnonzero(sums > 0)
-            rows = found + b * BLOCK_IDS
+            group = (t[:, None] * self.blocks + some[None, :]).ravel()
+            lo = self.starts[group]
+            n = self.starts[group + 1] - lo
+            place = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            slot = np.repeat(np.tile(np.arange(len(some)), len(t)), n) * BLOCK_IDS + self.rows[place] % BLOCK_IDS
+            sums = np.bincount(slot, np.repeat(np.repeat(q, len(some)), n) * self.weights[place], len(some) * BLOCK_IDS)
+            found = np.flatnonzero((sums > 0) & (sums >= least))
+            rows = some[found // BLOCK_IDS] * BLOCK_IDS + found % BLOCK_IDS
             use = rows != without
             rows, values = np.append(best_rows, rows[use]), np.append(best, sums[found][use])
-            order = np.lexsort((rows, -np.round(values, 12)))[:k]
-            best_rows, best = rows[order], values[order]
+            top = np.lexsort((rows, -np.round(values, 12)))[:k]
+            best_rows, best = rows[top], values[top]
         return best_rows, best
 
     def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
