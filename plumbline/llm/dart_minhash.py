@@ -19,9 +19,12 @@ with probability (1 - 0.8**4)**36 < 1e-8.  Then:
 2. In every band bucket each text is paired with the smallest id there, never with
    all others.  Pairs are checked exactly on whole texts.
 3. Verified links make classes (large-star, small-star rounds over written
-   tables).  Where a bucket still holds several classes, one member of each
-   is paired with one of the smallest class, checked and joined likewise,
-   until a round finds no new link.
+   tables).  Where a bucket still holds several classes, ``PIVOTS`` members outside its
+   largest class (four times as many in each further round) are paired with every text of
+   another class there, checked and joined likewise, and leave the bucket.  This ends when
+   the texts left in each bucket are of one class, so any two texts that share a
+   bucket are in one class or were compared.  Only pairs whose shingle counts alone
+   rule the threshold out are not read.
 
 Links go through joins that AQE splits, so a class may hold a third of all
 rows; nothing but counts reaches the driver.
@@ -40,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import textblocks as tb
@@ -51,8 +54,8 @@ ROWS, BANDS = 4, 36
 K = ROWS * BANDS
 #: The least rank interval is [0, 2**-FINE); the others double from there.
 FINE = 8
-#: Rounds that look for links between classes of one bucket.
-ROUNDS = 4
+#: Members of a bucket that the first round after the heads pairs with its other classes.
+PIVOTS = 4
 
 
 def shingles(raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,7 +156,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, words_key (null without words), bands."""
+    """doc_id, words_key (null without words), total (shingles with repeats), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, raws in tb.blocks(batches, "doc_id", "text"):
@@ -161,9 +164,9 @@ def signed(docs: DataFrame) -> DataFrame:
             keys = band_keys(signatures(owner, element, count.astype(np.float64), len(ids)))
             words = [b" ".join(tb.split(r, True)) for r in raws]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * BANDS + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([hashlib.blake2b(w, digest_size=16).digest() if w else None for w in words], pa.binary()), bands], names=["doc_id", "words_key", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([hashlib.blake2b(w, digest_size=16).digest() if w else None for w in words], pa.binary()), pa.array(np.bincount(owner, count, len(ids)).astype(np.int64)), bands], names=["doc_id", "words_key", "total", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words_key binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words_key binary, total long, bands array<long>")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -221,28 +224,40 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
+def near(one: str, other: str, threshold: float) -> Column:
+    """Whether texts of so many shingles can reach the threshold."""
+    return F.least(one, other) / F.greatest(one, other) >= threshold
+
+
+def placed(rest: DataFrame, found: DataFrame) -> DataFrame:
+    """key, a, total, class and place of the texts in buckets of several classes; the largest class has no place."""
+    now = rest.join(found, F.col("a") == F.col("v"), "left").select("key", "a", "total", F.coalesce("class", "a").alias("class"))
+    most = now.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.class").alias("largest"))
+    held = now.join(most, "key")
+    others = held.where("class <> largest").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("a")))
+    return written(held.where("class = largest").withColumn("place", F.lit(None).cast("int")).union(others).drop("largest"), "open")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), same_words_id (smallest doc_id with the same words)."""
     sig = written(signed(docs), "signatures")
-    first = written(sig.where("words_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("words_key").agg(F.min(F.struct("doc_id", "bands")).alias("f")).select("words_key", "f.doc_id", "f.bands"), "texts")
-    rows = first.select(F.col("doc_id").alias("a"), F.explode("bands").alias("key"))
-    heads = rows.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    first = written(sig.where("words_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("words_key").agg(F.min(F.struct("doc_id", "total", "bands")).alias("f")).select("words_key", "f.doc_id", "f.total", "f.bands"), "texts")
+    rows = first.select(F.col("doc_id").alias("a"), "total", F.explode("bands").alias("key"))
+    heads = rows.groupBy("key").agg(F.min(F.struct("a", "total")).alias("h"), F.count("*").alias("n")).where("n > 1").select("key", F.col("h.a").alias("b"), F.col("h.total").alias("total_b"))
     members = written(rows.join(heads, "key"), "buckets")
     texts = written(packed(docs).join(members.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidates")
-    pairs = members.select("a", "b").where("a <> b").distinct()
-    links = written(verified(pairs, texts, threshold), "verified")
-    found = components(links)
-    for _ in range(ROUNDS):
-        placed = members.join(found, F.col("a") == F.col("v"), "left").select("key", "a", F.coalesce("class", "a").alias("class"))
-        one = placed.groupBy("key", "class").agg(F.min(F.struct(F.xxhash64("a", "key").alias("h"), "a")).alias("m")).select("key", "class", F.col("m.a").alias("a"))
-        top = one.groupBy("key").agg(F.min(F.struct("class", "a")).alias("t"), F.count("*").alias("n")).where("n > 1").select("key", F.col("t.a").alias("b"), F.col("t.class").alias("first"))
-        more = one.join(top, "key").where("class <> first").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = written(more, "pairs")
+    pairs = written(members.where("a <> b").where(near("total", "total_b", threshold)).select("a", "b").distinct(), "pairs")
+    found = components(written(verified(pairs, texts, threshold), "verified"))
+    rest, pivots = members.where("a <> b").select("key", "a", "total"), PIVOTS
+    while not (still := placed(rest, found)).isEmpty():
+        pivot = still.where(F.col("place") <= pivots).select("key", *(F.col(c).alias(f"{c}_b") for c in ("a", "total", "class", "place")))
+        met = still.join(pivot, "key").where("class <> class_b AND (place IS NULL OR place > place_b)").where(near("total", "total_b", threshold))
+        more = written(met.select(F.greatest("a", "a_b").alias("a"), F.least("a", "a_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         new = written(verified(more, texts, threshold), "verified")
-        if new.isEmpty():
-            break
-        links, pairs = links.union(new), pairs.union(more)
-        found = components(links)
+        if not new.isEmpty():
+            found = components(found.toDF("a", "b").union(new))
+        pairs = pairs.union(more)
+        rest, pivots = still.where(F.col("place").isNull() | (F.col("place") > pivots)).select("key", "a", "total"), 4 * pivots
     same = sig.select("doc_id", "words_key").join(first.select("words_key", F.col("doc_id").alias("same")), "words_key", "left")
     same = same.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("same", "doc_id")).alias("same_words_id"))
     return same.join(found, F.col("same_words_id") == F.col("v"), "left").select("doc_id", F.coalesce("class", "same_words_id").alias("class_id"), "same_words_id")

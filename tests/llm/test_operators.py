@@ -191,6 +191,20 @@ def test_near_dedup(spark):
     assert dart_minhash.classes(frame(spark, [])).count() == 0
 
 
+def test_near_dedup_links_texts_that_fail_against_every_head(spark):
+    base = prose(1000, 400).split()
+    r, texts = random.Random(5), []
+    for i in range(90):  # about 0.6 to the rest, with the smaller ids
+        at = r.randrange(300)
+        texts.append(" ".join(base[:at] + prose(2000 + i, 100).split() + base[at + 100 :]))
+    for i in range(10):
+        at = r.randrange(400)
+        texts.append(" ".join([*base[:at], f"edit{i}", *base[at + 1 :]]))
+    got = rows(dart_minhash.classes(frame(spark, texts)))
+    assert [got[i].class_id for i in range(90)] == list(range(90))
+    assert {got[i].class_id for i in range(90, 100)} == {90}
+
+
 def test_signature_estimates_weighted_jaccard():
     r = np.random.default_rng(1)
     same, hits = 0.0, 0
