@@ -3,9 +3,10 @@
 A text that repeats itself compresses far better than prose of its length, and
 random or encoded text far worse.  ``BANDS`` gives, by length in bytes, the
 ratios (bytes / compressed bytes) that prose can have; a document is rejected
-if its whole text lies outside its band, or if chunks outside the chunk band
-hold more than ``BAD_SHARE`` of the bytes of its chunks.  The limits leave a margin of a third
-or more beyond prose, so that clean documents stay.
+if its whole text lies outside its band, or if chunks outside the band of their
+length (``CHUNK_BANDS``) hold more than ``BAD_SHARE`` of the bytes of its chunks.  A tail too
+short to be judged belongs to the chunk before it.  The lower chunk limits lie between base64 (1.25
+at 1 KiB, 1.31 at 4 KiB) and the least of the prose of sf0.1 (1.58 and 1.90), so that clean documents stay.
 
 Cases: null and empty texts have no words and fail the base rule (``n_words``
 0); their ratio is null.  Repeated rows and ties are judged row by row.  An
@@ -31,8 +32,10 @@ BANDS = (
     (100, 0.0, 3.5), (250, 0.85, 2.7), (500, 1.05, 2.7), (1000, 1.15, 2.8), (2000, 1.25, 3.0),
     (4000, 1.35, 3.3), (8000, 1.4, 3.6), (16000, 1.4, 3.9), (64000, 1.4, 4.4), (1 << 62, 1.4, 6.0),
 )
-#: Bytes of a chunk, shortest last chunk that is judged, band of chunks, share of bad bytes that rejects.
-CHUNK, LEAST_CHUNK, CHUNK_BAND, BAD_SHARE = 4096, 1024, (1.3, 3.6), 0.5
+#: Bytes of a chunk, shortest chunk that is judged, share of bad bytes that rejects.
+CHUNK, LEAST_CHUNK, BAD_SHARE = 4096, 1024, 0.2
+#: As BANDS, of chunks.
+CHUNK_BANDS = ((1536, 1.4, 3.6), (2048, 1.45, 3.6), (3072, 1.5, 3.6), (4096, 1.55, 3.6), (1 << 62, 1.6, 3.6))
 LEVEL = 3
 
 SCHEMA = (
@@ -41,26 +44,24 @@ SCHEMA = (
 )
 
 
-def band_of(n: int) -> tuple[float, float]:
-    return next((lo, hi) for most, lo, hi in BANDS if n < most)
+def band_of(n: int, bands: tuple = BANDS) -> tuple[float, float]:
+    return next((lo, hi) for most, lo, hi in bands if n < most)
 
 
 def compression(raw: bytes, packer: zstandard.ZstdCompressor) -> tuple[float | None, float]:
-    """Ratio of the whole text, and the share of its chunk bytes that lie outside the chunk band."""
+    """Ratio of the whole text, and the share of its chunk bytes that lie outside their band."""
     if not raw:
         return None, 0.0
     ratio = len(raw) / len(packer.compress(raw))
-    bad = seen = 0
-    for at in range(0, len(raw), CHUNK):
-        n = len(piece := raw[at : at + CHUNK])
-        if n < LEAST_CHUNK:
-            break
-        if at == 0 and n == len(raw):
-            r = ratio
-        else:
-            r = n / len(packer.compress(piece))
+    bad = seen = at = 0
+    while len(raw) - at >= LEAST_CHUNK:
+        end = at + CHUNK if len(raw) - at >= CHUNK + LEAST_CHUNK else len(raw)
+        n = end - at
+        r = ratio if n == len(raw) else n / len(packer.compress(raw[at:end]))
+        lo, hi = band_of(n, CHUNK_BANDS)
         seen += n
-        bad += n * (not CHUNK_BAND[0] <= r <= CHUNK_BAND[1])
+        bad += n * (not lo <= r <= hi)
+        at = end
     return ratio, bad / seen if seen else 0.0
 
 

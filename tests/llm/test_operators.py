@@ -59,6 +59,22 @@ def test_quality_bands(n, ratio, why):
     assert quality_bands.verdict(n, ratio, 0.0) == why
 
 
+@pytest.mark.parametrize("share", [0.3, 0.5])
+def test_quality_finds_incompressible_stretches(share):
+    import base64
+
+    import zstandard
+
+    packer, n = zstandard.ZstdCompressor(level=quality_bands.LEVEL), 40_000
+    junk = base64.b64encode(random.Random(8).randbytes(n))[: int(n * share)]
+    text = prose(9, 8000).encode()[: n - len(junk)]
+    for raw, why in ((text + junk, "chunks"), (junk + text, "chunks"), (text, None)):
+        assert quality_bands.verdict(len(raw), *quality_bands.compression(raw, packer)) == why
+    for tail in (1, 1023, 1024):  # every byte is judged
+        ratio, bad = quality_bands.compression(text[:4096] + junk[:tail], packer)
+        assert bad == (0.0 if tail < 1024 else tail / (4096 + tail))
+
+
 def test_bpe_equals_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
