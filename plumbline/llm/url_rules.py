@@ -58,10 +58,10 @@ def items() -> Column:
     of_host = F.transform(F.filter(labels, lambda s: s != ""), lambda s: F.concat(F.lit("host="), s))
     ends = F.when(F.size(labels) >= 2, F.array(F.concat(F.lit("domain="), F.concat_ws(".", F.slice(labels, -2, 2))))).otherwise(F.array().cast("array<string>"))
     extension = F.regexp_extract("path", r"\.([A-Za-z0-9]{1,5})$", 1)
-    first = F.transform(F.slice(segments, 1, 2), lambda s: F.concat(F.lit("path="), F.regexp_replace(s, "[0-9]+", "0")))
+    of_path = F.transform(segments, lambda s: F.concat(F.lit("path="), F.regexp_replace(s, "[0-9]+", "0")))
     of_file = F.when(extension != "", F.array(F.concat(F.lit("ext="), extension))).otherwise(F.array().cast("array<string>"))
     of_scheme = F.when(F.col("scheme") != "", F.array(F.concat(F.lit("scheme="), F.translate("scheme", UPPER, LOWER)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(of_scheme, of_host, ends, first, of_file, keys))
+    return F.array_distinct(F.concat(of_scheme, of_host, ends, of_path, of_file, keys))
 
 
 def mined(itemed: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:

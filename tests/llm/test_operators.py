@@ -329,6 +329,13 @@ def test_url_rules(spark):
     assert url_rules.judged(df.limit(0), labels).count() == 0
 
 
+def test_url_rules_see_deep_segments(spark):
+    df = spark.createDataFrame([(i, f"http://a.example.com/en/2024/{'casino' if i % 2 else 'news'}/{i}", "h") for i in range(200)], "page_id long, url string, host string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = rows(url_rules.judged(df, labels), "page_id")
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(200))
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
