@@ -13,18 +13,22 @@ K log K darts.  A document in which a coordinate stays empty is done again
 with twice the bound.
 
 Signatures are joined by BANDS bands of ROWS coordinates: a pair at 0.8 is missed
-with probability (1 - 0.8**4)**36 < 1e-8.  Then:
+with probability (1 - 0.8**5)**32 < 4e-6.  Four bits of each coordinate form a
+document's sketch; a pair whose sketches differ in more than MOST_UNLIKE places is no
+candidate (a pair at 0.8 differs in 30 places with a deviation of 5, so 60 are beyond
+six deviations).  Then:
 
 1. Documents of equal words are one text (a map-side combined minimum).
-2. In every band bucket each text is paired with the smallest id there, never with
-   all others.  Pairs are checked exactly on whole texts.
-3. Verified links make classes (large-star, small-star rounds over written
-   tables).  Where a bucket still holds several classes, ``PIVOTS`` members outside its
+2. A bucket of up to SMALL texts gives all its pairs (a bounded number a text); in a larger one
+   each text is paired with the smallest id there, never with all others.
+3. Of each text's candidates the smallest is checked first, exactly and on whole texts; the
+   others only where the links found so far (large-star, small-star rounds over
+   written tables) leave the two in different classes.
+4. Where a large bucket still holds several classes, ``PIVOTS`` members outside its
    largest class (four times as many in each further round) are paired with every text of
    another class there, checked and joined likewise, and leave the bucket.  This ends when
    the texts left in each bucket are of one class, so any two texts that share a
-   bucket are in one class or were compared.  Only pairs whose shingle counts alone
-   rule the threshold out are not read.
+   bucket are in one class or were compared; there is no fixed round count.
 
 Links go through joins that AQE splits, so a class may hold a third of all
 rows; nothing but counts reaches the driver.
@@ -47,15 +51,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import textblocks as tb
-from plumbline.llm.shared import table, written
+from plumbline.llm.shared import table, unused, written
 
 SHINGLE, THRESHOLD = 5, 0.8
-ROWS, BANDS = 4, 36
+ROWS, BANDS = 5, 32
 K = ROWS * BANDS
+#: Places of the sketches (one a coordinate) in which a candidate pair may differ; places of one 64-bit word.
+MOST_UNLIKE, PLACES = 60, 16
+#: Documents of a block of signatures (darts go with documents, so this bounds a worker's memory).
+DOCUMENTS = 256
+#: Texts of a bucket that gives all its pairs.
+SMALL = 8
 #: The least rank interval is [0, 2**-FINE); the others double from there.
 FINE = 8
 #: Members of a bucket that the first round after the heads pairs with its other classes.
-PIVOTS = 4
+PIVOTS = 16
 
 
 def shingles(raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,13 +142,16 @@ def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
     bound = K * (math.log(K) + 2) / np.maximum(totals, 1)
     todo = totals > 0
     while len(owner):
-        got = [np.concatenate(c) for c in zip(*darts(owner, element, weight, bound), strict=True)]
-        slot = got[0] * K + got[1]
-        order = np.argsort(-got[2])  # the earliest is written last
-        fresh = np.zeros(n * K, np.uint64)
-        fresh[slot[order]] = got[3][order]
-        fresh = fresh.reshape(n, K)
-        full = todo & (fresh != 0).all(1)
+        best, dart = np.full(n * K, np.inf), np.zeros(n * K, np.uint64)
+        for own, coordinate, rank, which in darts(owner, element, weight, bound):
+            slot = own * K + coordinate
+            order = np.argsort(-rank)  # the earliest is written last
+            slot, rank, which = slot[order], rank[order], which[order]
+            early = np.flatnonzero(rank < best[slot])
+            best[slot[early]] = rank[early]
+            dart[slot[early]] = which[early]
+        fresh = dart.reshape(n, K)
+        full = todo & np.isfinite(best).reshape(n, K).all(1)
         out.reshape(n, K)[full] = fresh[full]
         todo &= ~full
         stay = todo[owner]
@@ -155,18 +168,33 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return tb.mix(key + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).view(np.int64)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """n x (K / PLACES) words: the upper four bits of each coordinate's dart."""
+    bits = (signature >> np.uint64(60)).reshape(len(signature), K // PLACES, PLACES) << (4 * np.arange(PLACES, dtype=np.uint64))
+    return np.bitwise_or.reduce(bits, axis=2).view(np.int64)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, words_key (null without words), total (shingles with repeats), bands."""
+    """doc_id, words_key (null without words), total (shingles with repeats), bands, sketch."""
+
+    def lists(values: np.ndarray) -> pa.ListArray:
+        n, width = values.shape
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width), pa.int32()), pa.array(values.reshape(-1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, raws in tb.blocks(batches, "doc_id", "text"):
+        for ids, raws in tb.blocks(batches, "doc_id", "text", rows=DOCUMENTS):
+            keys = []
+            for raw in raws:
+                w = b" ".join(tb.split(raw, True))
+                keys.append(hashlib.blake2b(w, digest_size=16).digest() if w else None)
             owner, element, count = shingles(raws)
-            keys = band_keys(signatures(owner, element, count.astype(np.float64), len(ids)))
-            words = [b" ".join(tb.split(r, True)) for r in raws]
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * BANDS + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([hashlib.blake2b(w, digest_size=16).digest() if w else None for w in words], pa.binary()), pa.array(np.bincount(owner, count, len(ids)).astype(np.int64)), bands], names=["doc_id", "words_key", "total", "bands"])
+            signature = signatures(owner, element, count.astype(np.float64), len(ids))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.bincount(owner, count, len(ids)).astype(np.int64)), lists(band_keys(signature)), lists(sketches(signature))],
+                names=["doc_id", "words_key", "total", "bands", "sketch"],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words_key binary, total long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words_key binary, total long, bands array<long>, sketch array<long>")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -208,30 +236,45 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """v, class: the smallest vertex connected with each vertex of links (a, b); large-star and small-star rounds until nothing changes."""
+    """v, class: the smallest vertex connected with each vertex of links (a, b); large-star and small-star rounds until all are stars."""
     now = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    before = None
-    while True:
+    while not now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() or not now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if state == before:
-            return now.select(F.col("u").alias("v"), F.col("v").alias("class")).union(now.select("v", F.col("v").alias("class")).distinct())
-        before = state
+    return now.select(F.col("u").alias("v"), F.col("v").alias("class")).union(now.select("v", F.col("v").alias("class")).distinct())
+
+
+def unlike(one: str, other: str) -> Column:
+    """The number of places in which two sketches differ."""
+    total = F.lit(0)
+    for i in range(K // PLACES):
+        x = F.get(one, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def candidates(pairs: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose shingle counts and sketches allow the threshold."""
+    met = pairs.join(facts.toDF("a", "total_a", "sketch_a"), "a").join(facts.toDF("b", "total_b", "sketch_b"), "b")
+    enough = F.least("total_a", "total_b") / F.greatest("total_a", "total_b") >= threshold
+    return met.where(enough).where(unlike("sketch_a", "sketch_b") <= MOST_UNLIKE).select("a", "b")
 
 
-def near(one: str, other: str, threshold: float) -> Column:
-    """Whether texts of so many shingles can reach the threshold."""
-    return F.least(one, other) / F.greatest(one, other) >= threshold
+def parted(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose texts are in different classes."""
+    a, b = found.toDF("a", "class_a"), found.toDF("b", "class_b")
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
 
 
 def placed(rest: DataFrame, found: DataFrame) -> DataFrame:
-    """key, a, total, class and place of the texts in buckets of several classes; the largest class has no place."""
-    now = rest.join(found, F.col("a") == F.col("v"), "left").select("key", "a", "total", F.coalesce("class", "a").alias("class"))
+    """key, a, class and place of the texts in buckets of several classes; the largest class has no place."""
+    now = rest.join(found, F.col("a") == F.col("v"), "left").select("key", "a", F.coalesce("class", "a").alias("class"))
     most = now.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.class").alias("largest"))
     held = now.join(most, "key")
     others = held.where("class <> largest").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("a")))
@@ -241,32 +284,43 @@ def placed(rest: DataFrame, found: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), same_words_id (smallest doc_id with the same words)."""
     sig = written(signed(docs), "signatures")
-    first = written(sig.where("words_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("words_key").agg(F.min(F.struct("doc_id", "total", "bands")).alias("f")).select("words_key", "f.doc_id", "f.total", "f.bands"), "texts")
-    rows = first.select(F.col("doc_id").alias("a"), "total", F.explode("bands").alias("key"))
-    heads = rows.groupBy("key").agg(F.min(F.struct("a", "total")).alias("h"), F.count("*").alias("n")).where("n > 1").select("key", F.col("h.a").alias("b"), F.col("h.total").alias("total_b"))
+    first = written(sig.where("words_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("words_key").agg(F.min("doc_id").alias("same")), "texts")
+    one = sig.join(first.select(F.col("same").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    facts = written(one.select("doc_id", "total", "sketch"), "facts")
+    rows = one.select(F.col("doc_id").alias("a"), F.explode("bands").alias("key"))
+    heads = rows.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
     members = written(rows.join(heads, "key"), "buckets")
-    texts = written(packed(docs).join(members.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidates")
-    pairs = written(members.where("a <> b").where(near("total", "total_b", threshold)).select("a", "b").distinct(), "pairs")
-    found = components(written(verified(pairs, texts, threshold), "verified"))
-    rest, pivots = members.where("a <> b").select("key", "a", "total"), PIVOTS
+    few = members.where(F.col("n").between(3, SMALL))
+    others = few.select("key", "a").join(few.select("key", F.col("a").alias("c"), "b"), "key").where("a > c AND c <> b").select("a", F.col("c").alias("b"))
+    pairs = written(candidates(members.where("a <> b").select("a", "b").union(others).distinct(), facts, threshold), "pairs")
+    texts = packed(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    texts = written(texts, "candidates")
+    links = written(verified(pairs.groupBy("a").agg(F.min("b").alias("b")), texts, threshold), "verified")
+    found = components(links)
+    new = written(verified(parted(pairs, found), texts, threshold), "verified")
+    if not new.isEmpty():
+        found = components(found.toDF("a", "b").union(new))
+    rest, pivots = members.where(F.col("n") > SMALL).where("a <> b").select("key", "a"), PIVOTS
     while not (still := placed(rest, found)).isEmpty():
-        pivot = still.where(F.col("place") <= pivots).select("key", *(F.col(c).alias(f"{c}_b") for c in ("a", "total", "class", "place")))
-        met = still.join(pivot, "key").where("class <> class_b AND (place IS NULL OR place > place_b)").where(near("total", "total_b", threshold))
-        more = written(met.select(F.greatest("a", "a_b").alias("a"), F.least("a", "a_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        new = written(verified(more, texts, threshold), "verified")
-        if not new.isEmpty():
-            found = components(found.toDF("a", "b").union(new))
-        pairs = pairs.union(more)
-        rest, pivots = still.where(F.col("place").isNull() | (F.col("place") > pivots)).select("key", "a", "total"), 4 * pivots
-    same = sig.select("doc_id", "words_key").join(first.select("words_key", F.col("doc_id").alias("same")), "words_key", "left")
+        pivot = still.where(F.col("place") <= pivots).select("key", *(F.col(c).alias(f"{c}_b") for c in ("a", "class", "place")))
+        met = still.join(pivot, "key").where("class <> class_b AND (place IS NULL OR place > place_b)").select(F.greatest("a", "a_b").alias("a"), F.least("a", "a_b").alias("b")).distinct()
+        more = written(candidates(met, facts, threshold), "pairs")
+        if not more.isEmpty():
+            read = packed(docs.join(more.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
+            new = written(verified(more, read, threshold), "verified")
+            if not new.isEmpty():
+                found = components(found.toDF("a", "b").union(new))
+        rest, pivots = still.where(F.col("place").isNull() | (F.col("place") > pivots)).select("key", "a"), 4 * pivots
+    same = sig.select("doc_id", "words_key").join(first, "words_key", "left")
     same = same.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("same", "doc_id")).alias("same_words_id"))
     return same.join(found, F.col("same_words_id") == F.col("v"), "left").select("doc_id", F.coalesce("class", "same_words_id").alias("class_id"), "same_words_id")
 
 
 def deduped(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the smallest doc_id of each class; all columns stay as they are."""
-    gone = classes(docs, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id__"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id__"), "left_anti")
+    gone_id = unused(docs, "gone_id")
+    gone = classes(docs, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias(gone_id))
+    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,15 +121,18 @@ def as_ids(ids: list[int | None], absent: int = -(1 << 63)) -> np.ndarray:
     return np.array([absent if i is None else i for i in ids], np.int64)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], key: str, text: str, size: int = 2 << 20) -> Iterator[tuple[list[int], list[bytes | None]]]:
-    """(keys, texts) of some MB at most, or one longer text; null texts stay null."""
+def blocks(batches: Iterator[pa.RecordBatch], key: str, text: str, size: int = 1 << 20, rows: int = 1024) -> Iterator[tuple[list[int], list[bytes | None]]]:
+    """(keys, texts) of `size` bytes and `rows` rows at most, or one longer text; null texts stay null."""
     for batch in batches:
-        ids, texts = batch.column(key).to_pylist(), binaries(batch.column(text))
-        at, held = 0, 0
-        for i, t in enumerate(texts):
-            held += len(t or b"")
-            if held >= size:
-                yield ids[at : i + 1], texts[at : i + 1]
-                at, held = i + 1, 0
-        if at < len(ids):
-            yield ids[at:], texts[at:]
+        n = batch.num_rows
+        ids, column = batch.column(key), batch.column(text)
+        for start in range(0, n, rows):
+            part, texts = ids.slice(start, rows).to_pylist(), binaries(column.slice(start, rows))
+            at, held = 0, 0
+            for i, t in enumerate(texts):
+                held += len(t or b"")
+                if held >= size:
+                    yield part[at : i + 1], texts[at : i + 1]
+                    at, held = i + 1, 0
+            if at < len(part):
+                yield part[at:], texts[at:]
