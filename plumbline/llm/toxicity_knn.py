@@ -2,23 +2,30 @@
 
 * Examples: at most ``EXAMPLES`` labelled training rows (crc32(doc_id as text) mod 5 is
   not 0), those with the least hash of their id; the bound is a parameter.
-* Terms: words whose presence depends on the label among the examples (chi-square of
-  at least ``CHI2``, ``LEAST_DF`` examples or more, at most ``TERMS`` by chi-square).
-  Their document frequencies are counted over all documents.
+* Terms: every word of the examples.  A term weighs (1 + ln tf) x idf x relevance; document
+  frequencies are counted over all documents.  Relevance lies between ``LEAST`` and 1 and
+  rises with the term's dependence on the label among the examples (hypergeometric z beyond
+  ``Z_FROM``), so no term leaves the vectors, but telling ones outweigh topic words.
+  A text's words that no example holds count in its length, at the greatest idf.
 * Index: postings by term and block of ``BLOCK_IDS`` examples, with each block's
-  greatest weight.  A query bounds every block by the sum of these, opens blocks from
+  greatest weight.  Examples of like words share blocks, so that bounds are tight.  The lists of the
+  ``COMMON`` terms that most examples hold are nearly full and kept as rows of a matrix, which many
+  queries meet at once.  A query bounds every block by the greatest of its sums over these plus the
+  other terms' greatest weights, opens blocks from
   the highest bound on, and stops when the bound falls below its K-th best: the result
   is that of a search over all examples (ties: the smaller doc_id).
 * Votes weigh similarity squared, with a prior; leave-one-out votes of the examples
-  give an isotonic map to probabilities.  A text without any term has no
-  neighbour and gets the share of toxic ones among examples without terms.
+  give an isotonic map to probabilities.  The neighbours and similarities returned are the
+  evidence.  A text that shares no word with any example has no neighbour and gets the share
+  of toxic ones.
 
 Labels, lang, source and doc_id are never inputs of a score.
 
 Cases: a row without doc_id is no example and not held out; null and empty texts are texts without terms.  Without labels, or with labels of
 one kind alone, every score is the prior (0.5 over nothing, else the share with one added
 to each kind).  Rows of ``labels`` that repeat a doc_id count once, as toxic if one says so.
-Repeated documents are scored alike; an empty table gives an empty result; other
+Repeated documents are scored alike; of example rows that repeat a doc_id with different texts
+the one of fewest words is the example (ties: the least word hashes).  An empty table gives an empty result; other
 columns are not read.
 """
 
@@ -36,9 +43,11 @@ from pyspark.sql import functions as F
 from plumbline.llm import textblocks as tb
 from plumbline.llm.shared import table
 
-EXAMPLES, TERMS, CHI2, LEAST_DF, K, BLOCK_IDS, PRIOR_WEIGHT = 20_000, 20_000, 30.0, 4, 10, 256, 0.3
-#: Blocks opened at once while searching.
-OPENED = 16
+EXAMPLES, K, BLOCK_IDS, PRIOR_WEIGHT = 3_000, 10, 512, 0.015
+#: Relevance: least, z from which it rises, and z beyond that at which it is half way.
+LEAST, Z_FROM, Z_HALF = 0.1, 4.5, 3.0
+#: Blocks opened at once while searching; terms with full lists; those of them whose presence orders the examples; queries that meet them at once.
+OPENED, COMMON, AXES, QUERIES = 4, 512, 64, 256
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, similarities array<double>"
 
@@ -61,65 +70,111 @@ def distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return h[at], doc[at], np.diff(np.append(at, len(h)))
 
 
+def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + n[0] - 1, start[1] .. and so on."""
+    ends = np.cumsum(n, dtype=np.int32)
+    out = np.repeat(start - (ends - n), n)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
 @dataclass
 class Index:
     terms: np.ndarray  # sorted hashes
-    idf: np.ndarray
-    ids: np.ndarray  # doc_ids of examples, ascending
+    weight: np.ndarray  # idf x relevance of each
+    unseen: float  # that of a word that no example holds
+    ids: np.ndarray  # doc_ids of examples, in the order of blocks
     labels: np.ndarray
-    rows: np.ndarray  # postings: example, grouped by (term, block)
+    column: np.ndarray  # of each term, its row of `full`, or -1
+    full: np.ndarray  # weights of common terms in every example, by blocks
+    first: np.ndarray  # of each term, its first group (common terms have none)
+    block: np.ndarray  # of each group (a term's postings in a block)
+    most: np.ndarray  # greatest weight of each group
+    start: np.ndarray  # first posting of each group
+    size: np.ndarray  # postings of each group
+    rows: np.ndarray  # postings: place in the block
     weights: np.ndarray
-    starts: np.ndarray  # of each (term, block) group, flat
-    most: np.ndarray  # terms x blocks
-    empty_score: float
+    prior: float
     steps: tuple[np.ndarray, np.ndarray]  # calibration: raw votes, probabilities
 
     @property
     def blocks(self) -> int:
-        return self.most.shape[1]
+        return -(-len(self.ids) // BLOCK_IDS)
 
-    def vector(self, h: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit-length weights of one document."""
+    def vectors(self, h: np.ndarray, doc: np.ndarray, tf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Term numbers and weights of n documents of unit length, and where each document's start."""
         if not len(self.terms) or not len(h):
-            return np.empty(0, np.int64), np.empty(0)
+            return np.empty(0, np.int64), np.empty(0), np.zeros(n + 1, np.int64)
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         hit = self.terms[at] == h
-        t = at[hit]
-        w = (1 + np.log(tf[hit])) * self.idf[t]
-        norm = np.sqrt((w * w).sum())
-        return t, w / norm if norm else w
-
-    def search(self, t: np.ndarray, q: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest positive cosine, exactly."""
-        bounds = q @ self.most[t]
-        best_rows, best = np.empty(0, np.int64), np.empty(0)
+        w = (1 + np.log(tf)) * np.where(hit, self.weight[at], self.unseen)
+        w /= np.sqrt(np.bincount(doc, w * w, n))[doc]
+        return at[hit], w[hit], np.searchsorted(doc[hit], np.arange(n + 1))
+
+    def searches(self, t: np.ndarray, q: np.ndarray, cuts: np.ndarray, k: int = K, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query its k examples of highest positive cosine, exactly; without: an example that each leaves out."""
+        none = np.empty(0, np.int64), np.empty(0)
+        if not len(self.terms):
+            yield from [none] * (len(cuts) - 1)
+            return
+        for at in range(0, len(cuts) - 1, QUERIES):
+            some = cuts[at : at + QUERIES + 1]
+            lo, n = some[0], len(some) - 1
+            terms, weights = t[lo : some[-1]], q[lo : some[-1]]
+            who, column = np.repeat(np.arange(n), np.diff(some)), self.column[terms]
+            common = np.zeros((n, len(self.full)))
+            use = column >= 0
+            common[who[use], column[use]] = weights[use]
+            sums = (common @ self.full).reshape(n, self.blocks, BLOCK_IDS)
+            terms, weights, ends = terms[~use], weights[~use], np.searchsorted(who[~use], np.arange(n + 1))
+            most = sums.max(2)
+            for i in range(n):
+                part = slice(ends[i], ends[i + 1])
+                yield self._search(terms[part], weights[part], sums[i], most[i], k, -1 if without is None else without[at + i]) if some[i + 1] > some[i] else none
+
+    def _search(self, t: np.ndarray, q: np.ndarray, common: np.ndarray, bounds: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        first = self.first[t]
+        n = self.first[t + 1] - first
+        group, weight = spans(first, n), np.repeat(q, n)
+        block = self.block[group]
+        bounds = bounds + np.bincount(block, weight * self.most[group], self.blocks)
         order = np.argsort(-bounds, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        place = rank[block]
+        best_rows, best = np.empty(0, np.int64), np.empty(0)
         for at in range(0, len(order), OPENED):
+            least = best[k - 1] - 1e-9 if len(best) >= k else 0.0
             some = order[at : at + OPENED]
-            least = best[k - 1] - 1e-12 if len(best) >= k else 0.0
             some = some[(bounds[some] > 0) & (bounds[some] >= least)]
             if not len(some):
                 break
-            group = (t[:, None] * self.blocks + some[None, :]).ravel()
-            lo = self.starts[group]
-            n = self.starts[group + 1] - lo
-            place = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            slot = np.repeat(np.tile(np.arange(len(some)), len(t)), n) * BLOCK_IDS + self.rows[place] % BLOCK_IDS
-            sums = np.bincount(slot, np.repeat(np.repeat(q, len(some)), n) * self.weights[place], len(some) * BLOCK_IDS)
+            here = np.flatnonzero((place >= at) & (place < at + len(some)))
+            g = group[here]
+            m = self.size[g]
+            posting = spans(self.start[g], m)
+            slot = np.repeat((place[here] - at) * BLOCK_IDS, m)
+            slot += self.rows[posting]
+            value = np.repeat(weight[here], m)
+            value *= self.weights[posting]
+            sums = common[some].ravel() + np.bincount(slot, value, len(some) * BLOCK_IDS)
             found = np.flatnonzero((sums > 0) & (sums >= least))
             rows = some[found // BLOCK_IDS] * BLOCK_IDS + found % BLOCK_IDS
             use = rows != without
             rows, values = np.append(best_rows, rows[use]), np.append(best, sums[found][use])
-            top = np.lexsort((rows, -np.round(values, 12)))[:k]
+            if len(values) > 4 * k:
+                use = np.flatnonzero(values >= np.partition(values, len(values) - k)[len(values) - k] - 1e-8)
+                rows, values = rows[use], values[use]
+            top = np.lexsort((self.ids[rows], -np.round(values, 9)))[:k]
             best_rows, best = rows[top], values[top]
         return best_rows, best
 
     def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
         w = sims**2
-        return float(((w * self.labels[rows]).sum() + PRIOR_WEIGHT * self.empty_score) / (w.sum() + PRIOR_WEIGHT))
+        return float(((w * self.labels[rows]).sum() + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT))
 
     def score(self, rows: np.ndarray, sims: np.ndarray) -> float:
-        return float(np.interp(self.vote(rows, sims), *self.steps)) if len(rows) else self.empty_score
+        return float(np.interp(self.vote(rows, sims), *self.steps)) if len(rows) else self.prior
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,29 +189,64 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] / p[2] for p in pools]), np.maximum.accumulate(np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools]))
 
 
+def relevance(df: np.ndarray, toxic_df: np.ndarray, n: int, toxic: int) -> np.ndarray:
+    """Between LEAST and 1, by the z of toxic_df among df draws from n examples of which `toxic` are toxic."""
+    p = toxic / n
+    spread = np.sqrt(np.maximum(df * p * (1 - p) * (n - df) / max(n - 1, 1), 1e-12))
+    beyond = np.maximum(0.0, np.where(df < n, np.abs(toxic_df - df * p) / spread, 0.0) - Z_FROM)
+    return LEAST + (1 - LEAST) * beyond / (beyond + Z_HALF)
+
+
+def alike(row: np.ndarray, term: np.ndarray, weight: np.ndarray, informative: np.ndarray, n: int, terms: int) -> np.ndarray:
+    """An order of n examples in which neighbours have like words: by the signs of two principal axes over
+    the most common terms (languages part there), then by the weight of informative terms."""
+    common = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:AXES]
+    column = np.full(terms, -1)
+    column[common] = np.arange(len(common))
+    use = column[term] >= 0
+    dense = np.zeros((n, len(common)))
+    dense[row[use], column[term[use]]] = 1.0
+    dense -= dense.mean(0)
+    axes = np.linalg.eigh(dense.T @ dense)[1][:, -2:]
+    sides = ((dense @ axes) > 0) @ (1 << np.arange(axes.shape[1]))
+    told = np.bincount(row, weight * informative[term], n)
+    return np.lexsort((np.arange(n), told, sides))
+
+
 def build(terms: np.ndarray, df: np.ndarray, documents: int, ids: np.ndarray, labels: np.ndarray, postings: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Index:
-    """postings: example (place in ids), term number, times."""
-    idf = np.log((1.0 + documents) / (1.0 + df)) + 1e-6
+    """postings: example (place in ids, ascending), term number, times."""
+    n, toxic = len(ids), int(labels.sum())
+    prior, none = (toxic + 1) / (n + 2), np.empty(0, np.int64)
+    if not n or toxic in (0, n) or not len(terms):
+        return Index(terms[:0], np.empty(0), 0.0, ids, labels, none, np.empty((0, 0)), np.zeros(1, np.int64), none, np.empty(0), none, none, none, np.empty(0), prior, (np.array([0.0, 1.0]), np.array([prior, prior])))
     row, term, tf = postings
-    weight = (1 + np.log(np.maximum(tf, 1))) * idf[term] if len(term) else np.empty(0)
-    norm = np.sqrt(np.bincount(row, weight**2, len(ids)))
-    weight = weight / norm[row] if len(row) else weight
-    blocks = max(1, -(-len(ids) // BLOCK_IDS))
-    group = term * blocks + row // BLOCK_IDS
-    order = np.lexsort((row, group))
-    row, weight, group = row[order], weight[order], group[order]
-    most = np.zeros(len(terms) * blocks)
-    np.maximum.at(most, group, weight)
-    starts = np.searchsorted(group, np.arange(len(terms) * blocks + 1))
-    bare = np.bincount(row, minlength=len(ids)) == 0
-    empty = float((labels[bare].sum() + 1) / (bare.sum() + 2)) if bare.any() or not len(ids) else float((labels.sum() + 1) / (len(labels) + 2))
-    index = Index(terms, idf, ids, labels, row, weight, starts, most.reshape(len(terms), blocks), empty, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
-    by_row: dict[int, list[int]] = {}
-    for place, (r, g) in enumerate(zip(row.tolist(), group.tolist(), strict=True)):
-        by_row.setdefault(r, []).append(place)
+    tells = relevance(np.bincount(term, minlength=len(terms)), np.bincount(term, labels[row], len(terms)), n, toxic)
+    weight = np.log((2.0 + documents) / (1.0 + df)) * tells
+    value = (1 + np.log(tf)) * weight[term]
+    value /= np.sqrt(np.bincount(row, value**2, n))[row]
+    order = alike(row, term, value, tells > LEAST, n, len(terms))
+    back = np.empty(n, np.int64)
+    back[order] = np.arange(n)
+    row, ids, labels = back[row], ids[order], labels[order]
+    value = value.astype(np.float32).astype(float)
+    by = np.lexsort((term, row))
+    cuts, own, weights = np.searchsorted(row[by], np.arange(n + 1)), term[by], value[by]
+    often = np.bincount(term, minlength=len(terms))
+    column, common = np.full(len(terms), -1), np.argsort(-often, kind="stable")[:COMMON]
+    column[common] = np.arange(len(common))
+    full = np.zeros((len(common), -(-n // BLOCK_IDS) * BLOCK_IDS))
+    use = column[term] >= 0
+    full[column[term[use]], row[use]] = value[use]
+    row, term, value = row[~use], term[~use], value[~use]
+    by = np.lexsort((row, term))
+    row, term, value = row[by], term[by], value[by]
+    new = np.flatnonzero(np.append(np.ones(min(1, len(term)), bool), (term[1:] != term[:-1]) | (row[1:] // BLOCK_IDS != row[:-1] // BLOCK_IDS)))
+    index = Index(
+        terms, weight, float(np.log(2.0 + documents) * LEAST), ids, labels, column, full, np.searchsorted(term[new], np.arange(len(terms) + 1)).astype(np.int32), (row[new] // BLOCK_IDS).astype(np.int32),
+        np.maximum.reduceat(value, new) if len(new) else value, new.astype(np.int32), np.diff(np.append(new, len(row))).astype(np.int32), (row % BLOCK_IDS).astype(np.int32), value, prior, (np.array([0.0, 1.0]), np.array([0.0, 1.0])),
+    )
     raw, truth = [], []
-    for r, places in by_row.items():
-        rows, sims = index.search(group[places] // blocks, weight[places], without=r)
+    for r, (rows, sims) in enumerate(index.searches(own, weights, cuts, without=np.arange(n))):
         if len(rows):
             raw.append(index.vote(rows, sims))
             truth.append(float(labels[r]))
@@ -165,92 +255,76 @@ def build(terms: np.ndarray, df: np.ndarray, documents: int, ids: np.ndarray, la
     return index
 
 
-def chosen(counts: DataFrame, toxic: int, clean: int) -> np.ndarray:
-    """Sorted hashes of the terms, from (h, df_toxic, df_clean) rows; at most TERMS reach the driver."""
-    a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(toxic + clean)
-    expected = (a + b) * toxic / n
-    chi2 = (a - expected) ** 2 * n**3 / ((a + b) * (n - a - b) * toxic * clean)
-    got = counts.where((a + b >= LEAST_DF) & (a + b < n)).withColumn("chi2", chi2).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "h").limit(TERMS).select("h").toPandas()
-    return np.sort(got["h"].to_numpy(np.int64).view(np.uint64))
-
+def examples(docs: DataFrame, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place in ids, word hash and times of the examples' words; at most EXAMPLES rows reach the driver."""
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids.tolist()], "doc_id long")
 
-def fitted(docs: DataFrame, labels: DataFrame) -> Index:
-    spark = docs.sparkSession
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    training = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    some = training.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES).toPandas().sort_values("doc_id")
-    ids, truth = some["doc_id"].to_numpy(np.int64), (some["toxic"].to_numpy(np.int64) > 0).astype(np.int64)
-    toxic, clean = int(truth.sum()), int(len(truth) - truth.sum())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, raws in tb.blocks(batches, "doc_id", "text"):
+            h, doc, tf = distinct(*hashed(raws))
+            cuts = pa.array(np.searchsorted(doc, np.arange(len(keys) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (h.view(np.int64), tf.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *lists], names=["doc_id", "words", "times"])
+
+    some = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id", "left_semi").distinct()
+    got: dict[int, tuple[int, bytes, np.ndarray, np.ndarray]] = {}
+    for r in some.mapInArrow(run, "doc_id long, words array<long>, times array<long>").toLocalIterator():
+        w, n = np.array(r.words, np.int64).view(np.uint64), np.array(r.times, np.int64)
+        one = (int(n.sum()), w.tobytes(), w, n)
+        if r.doc_id not in got or one[:2] < got[r.doc_id][:2]:
+            got[r.doc_id] = one
+    held = [(i, got[d]) for i, d in enumerate(ids.tolist()) if d in got]
     none = np.empty(0, np.int64)
-    if not toxic or not clean:
-        return build(np.empty(0, np.uint64), np.empty(0), 0, ids, truth, (none, none, none))
-    shared = spark.sparkContext.broadcast((ids, truth))
+    return np.repeat(np.array([i for i, _ in held], np.int64), [len(x[2]) for _, x in held]), np.concatenate([none.view(np.uint64), *(x[2] for _, x in held)]), np.concatenate([none, *(x[3] for _, x in held)])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, truth = shared.value
-        for keys, raws in tb.blocks(batches, "doc_id", "text"):
-            keys = tb.as_ids(keys)
-            use = np.flatnonzero(np.isin(keys, ids))
-            h, doc, _ = distinct(*hashed([raws[i] for i in use]))
-            kind = truth[np.searchsorted(ids, keys[use])][doc] if len(use) else none
-            word, at = np.unique(h, return_inverse=True)
-            a = np.bincount(at, kind, len(word)).astype(np.int64)
-            b = np.bincount(at, minlength=len(word)) - a
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(a), pa.array(b)], names=["h", "a", "b"])
-
-    counts = docs.select("doc_id", "text").mapInArrow(count, "h long, a long, b long").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    terms = chosen(counts, toxic, clean)
-    shared_terms = spark.sparkContext.broadcast(terms)
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (ids, _), terms = shared.value, shared_terms.value
-        df, seen = np.zeros(len(terms), np.int64), 0
+
+def frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """Over all documents: how many hold each term, and how many there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value
+        df, seen = np.zeros(len(terms) + 1, np.int64), 0
         for keys, raws in tb.blocks(batches, "doc_id", "text"):
-            keys = tb.as_ids(keys)
-            h, doc = hashed(raws)
-            at = np.minimum(np.searchsorted(terms, h), max(len(terms) - 1, 0))
-            hit = terms[at] == h if len(terms) else np.zeros(len(h), bool)
-            t, doc, tf = distinct(at[hit].astype(np.uint64), doc[hit])
-            t = t.astype(np.int64)
-            df += np.bincount(t, minlength=len(terms))
             seen += len(keys)
-            use = np.isin(keys[doc], ids)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[doc[use]]), pa.array(t[use]), pa.array(tf[use])], names=["doc_id", "term", "n"])
+            h, _, _ = distinct(*hashed(raws))
+            at = np.searchsorted(terms, h)
+            at = at[np.append(terms, 0)[at] == h] if len(terms) else at[:0]
+            df += np.bincount(at, minlength=len(df))
         t = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(t) + 1, pa.int64()), pa.array(np.append(t, -1)), pa.array(np.append(df[t], seen))], names=["doc_id", "term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(t, -1)), pa.array(np.append(df[t], seen))], names=["term", "n"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(collect, "doc_id long, term long, n long").groupBy("doc_id", "term").agg(F.sum("n").alias("n")).toPandas()
-    totals = rows[rows["doc_id"].isna()]
-    documents = int(totals.loc[totals["term"] < 0, "n"].sum())
+    got = docs.select("doc_id", "text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    term, n = got["term"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
     df = np.zeros(len(terms))
-    of_terms = totals[totals["term"] >= 0]
-    df[of_terms["term"].to_numpy(np.int64)] = of_terms["n"]
-    own = rows[rows["doc_id"].notna()]
-    place = np.searchsorted(ids, own["doc_id"].to_numpy(np.int64))
-    return build(terms, df, documents, ids, truth, (place, own["term"].to_numpy(np.int64), own["n"].to_numpy(np.int64)))
+    df[term[term >= 0]] = n[term >= 0]
+    return df, int(n[term < 0].sum())
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def fitted(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Index:
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    training = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    some = training.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas().sort_values("doc_id")
+    ids, truth = some["doc_id"].to_numpy(np.int64), (some["toxic"].to_numpy(np.int64) > 0).astype(np.int64)
+    none = np.empty(0, np.int64)
+    if len(set(truth.tolist())) < 2:
+        return build(none.view(np.uint64), np.empty(0), 0, ids, truth, (none, none, none))
+    place, words, times = examples(docs, ids)
+    terms, term = np.unique(words, return_inverse=True)
+    df, documents = frequencies(docs, terms)
+    return build(terms, df, documents, ids, truth, (place, term, times))
+
+
+def scored(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFrame:
     """One row for each row of docs, with the neighbours that gave the score."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for ids, raws in tb.blocks(batches, "doc_id", "text"):
-            h, doc, tf = distinct(*hashed(raws))
-            if len(index.terms):
-                at = np.minimum(np.searchsorted(index.terms, h), len(index.terms) - 1)
-                hit = index.terms[at] == h
-                h, doc, tf = h[hit], doc[hit], tf[hit]
-            else:
-                h, doc, tf = h[:0], doc[:0], tf[:0]
-            bounds = np.searchsorted(doc, np.arange(len(ids) + 1))
+            t, q, cuts = index.vectors(*distinct(*hashed(raws)), len(ids))
             scores, near, sims = [], [], []
-            for k in range(len(ids)):
-                rows, s = np.empty(0, np.int64), np.empty(0)
-                if bounds[k + 1] > bounds[k]:
-                    part = slice(bounds[k], bounds[k + 1])
-                    rows, s = index.search(*index.vector(h[part], tf[part]))
+            for rows, s in index.searches(t, q, cuts):
                 scores.append(min(1.0, max(0.0, index.score(rows, s))))
                 near.append(index.ids[rows].tolist())
                 sims.append(s.tolist())

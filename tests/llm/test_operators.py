@@ -283,36 +283,86 @@ def test_decontamination(spark):
     assert decontaminate.judged(frame(spark, []), bench).count() == 0
 
 
+def brute_toxicity(texts, toxic):
+    """Scores by full cosine over dictionaries; toxic: label by place."""
+    take = lambda t: collections.Counter(re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower()))
+    bags = [take(t) for t in texts]
+    train = [i for i in sorted(toxic) if zlib.crc32(str(i).encode()) % 5]
+    n, bad = len(train), sum(toxic[i] for i in train)
+    prior = (bad + 1) / (n + 2)
+    df, own, own_bad = collections.Counter(), collections.Counter(), collections.Counter()
+    for b in bags:
+        df.update(b.keys())
+    for i in train:
+        own.update(bags[i].keys())
+        own_bad.update(bags[i].keys() if toxic[i] else ())
+
+    def weight(w):
+        if not own[w]:
+            return math.log(2 + len(texts)) * 0.1
+        p, k = bad / n, own[w]
+        z = abs(own_bad[w] - k * p) / math.sqrt(k * p * (1 - p) * (n - k) / (n - 1)) if k < n else 0
+        x = max(0, z - 4.5)
+        return math.log((2 + len(texts)) / (1 + df[w])) * (0.1 + 0.9 * x / (x + 3))
+
+    vectors = []
+    for b in bags:
+        v = {w: (1 + math.log(c)) * weight(w) for w, c in b.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        vectors.append({w: x / size for w, x in v.items()} if size else {})
+
+    def vote(i, leave=False):
+        sims = [(sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()), j) for j in train if not (leave and i == j)]
+        top = sorted(((s, j) for s, j in sims if s > 0), key=lambda x: (-round(x[0], 6), x[1]))[:10]
+        w = sum(s * s for s, _ in top)
+        return (sum(s * s * toxic[j] for s, j in top) + 0.015 * prior) / (w + 0.015) if top else None
+
+    pools = []
+    for x, y in sorted((vote(i, True), toxic[i]) for i in train):
+        pools.append([x, y, 1])
+        while len(pools) > 1 and (pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2] or pools[-2][0] / pools[-2][2] >= pools[-1][0] / pools[-1][2]):
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    xs, ys = [p[0] / p[2] for p in pools], [(p[1] + 0.5) / (p[2] + 1) for p in pools]
+    ys = [max(ys[: k + 1]) for k in range(len(ys))]
+    return [prior if (v := vote(i)) is None else float(np.interp(v, xs, ys)) for i in range(len(texts))]
+
+
 def test_toxicity(spark):
     bad = ["idiot", "moron", "scum", "loser", "trash"]
-    texts = [prose(i, 30) + (f" {bad[i % 5]}, {bad[(i + 1) % 5]}! " if i % 4 == 0 else "") for i in range(400)] + [None, ""]
+    texts = [prose(3 if i == 395 else i, 30) + (f" {bad[i % 5]}, {bad[(i + 1) % 5]}! " if i % 4 == 0 else "") for i in range(400)] + [None, "", "Ünseen wörds ünseen"]
     docs = frame(spark, texts)
-    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0), "t") for i in range(400)], "doc_id long, quality int, toxic int, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0), "t") for i in range(400)] + [(3, 0, None, "t"), (None, 1, 1, "t"), (0, 1, 0, "t")], "doc_id long, quality int, toxic int, text string")
     got = rows(toxicity_knn.scored(docs, labels))
     held = [r for i, r in got.items() if i < 400 and r.held_out]
     assert len(held) > 40 and all(r.predicted == int(r.doc_id % 4 == 0) for r in held)
     assert got[400].predicted == got[401].predicted == 0 and got[400].score == got[401].score
-    assert all(0 <= r.score <= 1 for r in got.values())
+    for i, want in enumerate(brute_toxicity(texts, {i: int(i % 4 == 0) for i in range(400)})):
+        assert got[i].score == pytest.approx(want, abs=1e-4), i
+        assert len(got[i].neighbours) == len(got[i].similarities) == (0 if i >= 400 else 10)
     assert toxicity_knn.scored(docs, labels.limit(0)).select("score").distinct().count() == 1
+    assert toxicity_knn.scored(docs, labels.where("toxic = 0")).select("score").distinct().count() == 1
     assert toxicity_knn.scored(frame(spark, []), labels).count() == 0
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("common, block", [(0, 64), (8, 16), (512, 512)])
+def test_block_max_search_is_exact(monkeypatch, common, block):
+    monkeypatch.setattr(toxicity_knn, "COMMON", common)
+    monkeypatch.setattr(toxicity_knn, "BLOCK_IDS", block)
     r = np.random.default_rng(3)
     n, terms = 900, 40
     tf = (r.random((n, terms)) < 0.1) * r.integers(1, 4, (n, terms))
     row, term = np.nonzero(tf)
     index = toxicity_knn.build(np.arange(terms, dtype=np.uint64), (tf > 0).sum(0), n, np.arange(n), r.integers(0, 2, n), (row, term, tf[row, term]))
+    place = np.empty(n, np.int64)
+    place[index.ids] = np.arange(n)
+    t, q, cuts = index.vectors(term.astype(np.uint64), row, tf[row, term], n)
     dense = np.zeros((n, terms))
-    group = np.searchsorted(index.starts, np.arange(len(index.rows)), side="right") - 1
-    dense[index.rows, group // index.blocks] = index.weights
-    for i in range(40):
-        t, q = index.vector(np.flatnonzero(tf[i]).astype(np.uint64), tf[i][tf[i] > 0])
-        if len(t):
-            sims = dense[:, t] @ q
-            want = np.lexsort((np.arange(n), -np.round(sims, 12)))[:10]
-            got, _ = index.search(t, q)
-            assert got.tolist() == [x for x in want.tolist() if sims[x] > 0]
+    dense[place[row], t] = q
+    for i, (got, _) in enumerate(index.searches(t, q, cuts)):
+        sims = dense @ dense[place[i]]
+        want = np.lexsort((index.ids, -np.round(sims, 6)))[:10]
+        assert index.ids[got].tolist() == [x for x, y in zip(index.ids[want].tolist(), want.tolist(), strict=True) if sims[y] > 0]
 
 
 def test_url_rules(spark):
