@@ -1,15 +1,18 @@
 """BPE encoding and decoding by a bounded-lookahead streaming transducer.
 
-``MergeList.lookahead`` is the number of symbols beyond a token's end after
-which no further input can change the token.  A change that new input causes
-moves leftwards only from a rule to a weaker rule (one later in the list)
-whose right part ends in the stronger rule's left part, so the longest such
-chain, summed over the rules' lengths, bounds its reach.
-``Transducer`` holds back that many symbols, emits every token once it is
+``MergeList.lookahead`` gives, of each token, how many symbols beyond its end must be
+known before no further input can change it.  New input changes a token only by a
+rule (c, d) that takes a piece c off the right side of the token, where c is the token or
+a last piece from which it was merged later than that rule; and whether d comes about
+depends in the same way on what follows d.  So a rule's reach is the length of d and the reach into d,
+computed in the order of the merge list, and a token's lookahead is the longest reach of the rules that can take a piece of it.
+A rule whose right part ends a word reaches no further.
+``Transducer`` holds symbols back, emits every token once it is
 stable, and restarts at the last emitted boundary (merges never cross a token
 boundary of the final result, so what follows it is encoded as if alone).
-Its memory is constant in the length of a word.  ``Decoder`` turns bytes into
-text with an incremental UTF-8 state machine.
+Its memory is constant in the length of a word.  Every word goes through it; the tokens of short words are kept
+for the next time they come.  ``Decoder`` turns ids into
+text: tokens' bytes go through an incremental UTF-8 state machine, cut anywhere.
 
 The encoder follows the tokenizer file (normalizer, split pattern, merges,
 word end, added tokens) and equals the tokenizers library with
@@ -18,7 +21,7 @@ decode(ids, skip_special_tokens=False), which joins the tokens' strings by
 spaces as this file names no decoder.
 
 Cases: null counts as the empty text, which has no tokens and decodes to the
-empty text.  Very long texts and words stream through the transducer.
+empty text.  Very long texts go through in segments cut at white space, very long words byte by byte.
 Repeated rows give repeated rows, an empty table an empty result; columns
 beyond ``doc_id`` and ``text`` are not read.
 """
@@ -29,8 +32,9 @@ import codecs
 import hashlib
 import json
 import re
-import struct
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -41,12 +45,15 @@ from plumbline.llm import textblocks as tb
 from plumbline.llm.shared import table
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words kept at once in a worker's memory; longer words than LONG are never kept.
-KEPT, LONG = 300_000, 48
+#: Words and white-space-free runs kept at once in a worker's memory; longer ones than LONG are never kept.
+KEPT, RUNS, LONG = 50_000, 250_000, 48
+#: Characters of a segment of a text; bytes pushed at once.
+SEGMENT, PUSHED = 1 << 16, 1 << 12
 #: White space of the file's pattern (Unicode White_Space).
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
+LITTLE = sys.byteorder == "little"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -73,17 +80,23 @@ class MergeList:
         self.symbol = [self.ids.get(LETTER[b]) for b in range(256)]
         self.final = [self.ids.get(LETTER[b] + self.end) for b in range(256)]
         self.width = {i: len(s.removesuffix(self.end) if self.end else s) for s, i in self.ids.items()}
-        self.lookahead = self._lookahead(merges)
-
-    def _lookahead(self, merges: list[tuple[str, str]]) -> int:
-        reach: dict[str, int] = {}
-        most = 1
-        for a, b in merges:
-            own = len(a) + len(b.removesuffix(self.end) if self.end else b)
-            beyond = max((reach.get(b[k:], 0) for k in range(len(b))), default=0)
-            reach[a] = max(reach.get(a, 0), own + beyond)
-            most = max(most, own + beyond)
-        return most
+        self.lookahead = self._lookahead()
+        self.most = max(self.lookahead.values(), default=0)
+        self.room = max((self.width[t] + n for t, n in self.lookahead.items()), default=1)
+
+    def _lookahead(self) -> dict[int, int]:
+        """Of each token, the symbols beyond its end that can still change it."""
+        whole: dict[int, int] = {}  # reach of the rules so far that take a token as their left part
+        inner: dict[int, int] = {}  # reach into a token's last pieces before they are merged
+        used: set[int] = set()
+        for (a, b), (_, new) in sorted(self.rules.items(), key=lambda r: r[1][0]):
+            if new in used:
+                raise ValueError("a rule makes a token that an earlier rule uses; the lookahead would not be sufficient")
+            into = max(whole.get(b, 0), inner.get(b, 0))
+            whole[a] = max(whole.get(a, 0), self.width[b] + into)
+            inner[new] = max(inner.get(new, 0), into)
+            used |= {a, b}
+        return {t: max(whole.get(t, 0), inner.get(t, 0)) for t in self.width}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The tokens of a run of symbols: the strongest rule first, everywhere, from the left."""
@@ -110,49 +123,68 @@ class MergeList:
 
 
 class Transducer:
-    """Encodes one word that comes byte by byte; push() and finish() return the tokens that have become stable."""
+    """Encodes one word that comes in pieces of bytes; push() and finish() return the tokens that have become stable."""
+
+    #: Symbols held beyond the least that lets a token go, so that merging is not done for each of them.
+    SLACK = 256
 
     def __init__(self, merges: MergeList) -> None:
         self.merges = merges
         self.held: list[int] = []
         self.last: int | None = None
-        self.room = 2 * merges.lookahead + 64
+        self.emitted = 0
+        self.room = merges.room + self.SLACK
 
-    def push(self, byte: int) -> list[int]:
+    def push(self, raw: bytes) -> list[int]:
+        """The last byte waits, as it may end the word."""
         out: list[int] = []
-        if self.last is not None:
-            symbol = self.merges.symbol[self.last]
-            if symbol is not None:
-                self.held.append(symbol)
+        symbol = self.merges.symbol
+        for byte in raw:
+            if self.last is not None and (s := symbol[self.last]) is not None:
+                self.held.append(s)
                 if len(self.held) >= self.room:
-                    out = self._stable()
-        self.last = byte
+                    out += self._stable()
+            self.last = byte
         return out
 
     def _stable(self) -> list[int]:
-        out, used, limit = [], 0, len(self.held) - self.merges.lookahead
-        for t in self.merges.merge(self.held):
-            if used + self.merges.width[t] > limit:
+        out, used, n, m = [], 0, len(self.held), self.merges
+        for t in m.merge(self.held):
+            if used + m.width[t] + m.lookahead[t] > n:
                 break
             out.append(t)
-            used += self.merges.width[t]
+            used += m.width[t]
         self.held = self.held[used:]
+        self.emitted += len(out)
         return out
 
     def finish(self) -> list[int]:
-        if self.last is not None and (symbol := self.merges.final[self.last]) is not None:
-            self.held.append(symbol)
+        if self.last is not None and (s := self.merges.final[self.last]) is not None:
+            self.held.append(s)
         out, self.held, self.last = self.merges.merge(self.held), [], None
+        self.emitted += len(out)
         return out
 
 
 class Decoder:
-    """Bytes to text: a byte sequence may be cut anywhere; malformed bytes become U+FFFD."""
+    """Ids to text, as they come.
+
+    The bytes of each id go through an incremental UTF-8 decoder: a character may be cut anywhere, malformed
+    bytes become U+FFFD.  `bytes_of` gives each id's bytes; `between` parts two ids.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, bytes_of: list[bytes | None], between: bytes = b"") -> None:
+        self.bytes_of, self.between, self.first = bytes_of, between, True
         self._state = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, raw: bytes) -> str:
+    def feed(self, ids: Iterable[int]) -> str:
+        parts = [x for x in map(self.bytes_of.__getitem__, ids) if x is not None]
+        if not parts:
+            return ""
+        raw = self.between.join(parts)
+        if not self.first:
+            raw = self.between + raw
+        self.first = False
         return self._state.decode(raw)
 
     def finish(self) -> str:
@@ -166,83 +198,89 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.merges = MergeList(spec["model"])
-        self.text_of = {i: s for s, i in self.merges.ids.items()}
+        text_of = {i: s for s, i in self.merges.ids.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.text_of |= {i: s for s, i in self.added.items()}
+        text_of |= {i: s for s, i in self.added.items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(pattern)
-        self.byte_of = {c: b for b, c in LETTER.items()}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        most, end, byte_of = max(text_of) + 1, self.merges.end, {c: b for b, c in LETTER.items()}
+        #: Of each id its string's bytes, and the bytes of the text that it stands for (a word end is a space).
+        self.strings: list[bytes | None] = [text_of[i].encode() if i in text_of else None for i in range(most)]
+        self.texts: list[bytes | None] = list(self.strings)
+        special = set(self.added.values())
+        for i, s in text_of.items():
+            if i not in special:
+                ends = bool(end) and s.endswith(end)
+                self.texts[i] = bytes(byte_of[c] for c in (s.removesuffix(end) if ends else s)) + b" " * ends
+        self.pieces: dict[str, bytes] = {}
         outer = self
 
-        class Chunks(dict):
-            def __missing__(self, chunk: str) -> tuple[bytes, str]:
-                ids = outer.encode_chunk(chunk)
-                value = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(outer.text_of.__getitem__, ids))
-                if len(chunk) <= LONG:
-                    if len(self) >= KEPT:
+        class Runs(dict):
+            def __missing__(self, run: str) -> bytes:
+                ids = b"".join(outer.run(run))
+                if len(run) <= LONG:
+                    if len(self) >= RUNS:
                         self.clear()
-                    self[chunk] = value
-                return value
-
-        self.chunks = Chunks()
-
-    def word(self, word: str) -> Iterable[int]:
-        """Tokens of one match of the split pattern."""
-        found = self.pieces.get(word)
-        if found is None:
-            raw = word.encode()
-            if len(raw) <= LONG:
-                m = self.merges
-                symbols = [m.symbol[b] for b in raw[:-1]] + [m.final[raw[-1]]]
-                found = tuple(m.merge([s for s in symbols if s is not None]))
-                if len(self.pieces) >= KEPT:
-                    self.pieces.clear()
-                self.pieces[word] = found
-            else:
-                run = Transducer(self.merges)
-                found = [t for b in raw for t in run.push(b)] + run.finish()
-        return found
-
-    def encode_chunk(self, chunk: str) -> list[int]:
-        """Tokens of text without white space: NFC, lower case character by character, split, merge."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        return [t for w in self.words.findall(chunk.lower()) for t in self.word(w)]
-
-    def values(self, text: str) -> Iterator[tuple[bytes, str]]:
-        """(ids as bytes, their strings) chunk by chunk."""
-        parts = self.special.split(text) if self.special and "<|" in text else [text]
-        for part in parts:
+                    self[run] = ids
+                return ids
+
+        self.runs = Runs()
+
+    def word(self, word: str) -> Iterator[bytes]:
+        """Ids of one match of the split pattern, as the transducer emits them."""
+        if (found := self.pieces.get(word)) is not None:
+            yield found
+            return
+        raw, run = word.encode(), Transducer(self.merges)
+        if len(raw) <= LONG:
+            found = array("I", run.push(raw) + run.finish()).tobytes()
+            if len(self.pieces) >= KEPT:
+                self.pieces.clear()
+            self.pieces[word] = found
+            yield found
+            return
+        for at in range(0, len(raw), PUSHED):
+            yield array("I", run.push(raw[at : at + PUSHED])).tobytes()
+        yield array("I", run.finish()).tobytes()
+
+    def run(self, run: str) -> Iterator[bytes]:
+        """Ids of text without white space: NFC, lower case character by character, split, merge."""
+        if not run.isascii():
+            run = unicodedata.normalize("NFC", run).replace("Σ", "σ")
+        for w in self.words.finditer(run.lower()):
+            yield from self.word(w.group())
+
+    def packed(self, text: str) -> Iterator[bytes]:
+        """Ids of a text as native unsigned 32-bit integers, segment by segment."""
+        for part in self.special.split(text) if self.special and "<|" in text else [text]:
             if part in self.added:
-                yield struct.pack("<I", self.added[part]), part
-            else:
-                chunks = filter(None, SPACE.split(part)) if SEPARATORS.search(part) else part.split()
-                yield from map(self.chunks.__getitem__, chunks)
+                yield array("I", [self.added[part]]).tobytes()
+                continue
+            at = 0
+            while at < len(part):
+                cut = SPACE.search(part, at + SEGMENT) if len(part) - at > SEGMENT else None
+                end = cut.end() if cut else len(part)
+                segment = part[at:end] if at or end < len(part) else part
+                at = end
+                runs = list(filter(None, SPACE.split(segment))) if SEPARATORS.search(segment) else segment.split()
+                if len(segment) > 2 * SEGMENT:
+                    for run in runs:
+                        yield from self.run(run)
+                else:
+                    yield b"".join(map(self.runs.__getitem__, runs))
 
     def encode(self, text: str) -> list[int]:
-        raw = b"".join(v[0] for v in self.values(text))
-        return list(struct.unpack(f"<{len(raw) // 4}I", raw))
+        return array("I", b"".join(self.packed(text))).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
-        """As the library's decode for a file without decoder."""
-        return " ".join(self.text_of[i] for i in ids if i in self.text_of)
+        """As the library's decode for a file without decoder: the tokens' strings, parted by spaces."""
+        state = Decoder(self.strings, b" ")
+        return state.feed(ids) + state.finish()
 
     def text(self, ids: Iterable[int]) -> str:
         """Readable text: byte letters back to bytes, word ends to spaces, bytes to characters as they come."""
-        out, state = [], Decoder()
-        for i in ids:
-            if i in self.added.values():
-                out += [state.feed(b""), self.text_of[i]]
-                continue
-            s = self.text_of[i]
-            ends = bool(self.merges.end) and s.endswith(self.merges.end)
-            body = s.removesuffix(self.merges.end) if ends else s
-            out.append(state.feed(bytes(self.byte_of[c] for c in body)))
-            if ends:
-                out.append(state.feed(b" "))
-        return "".join(out) + state.finish()
+        state = Decoder(self.texts)
+        return state.feed(ids) + state.finish()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -258,18 +296,30 @@ def encoder(name: str = TOKENIZER) -> Encoder:
 
 
 def digests(batches: Iterator[pa.RecordBatch], name: str = TOKENIZER) -> Iterator[pa.RecordBatch]:
+    """Counts and digests of the ids and of their decoding; both go on segment by segment."""
     enc = encoder(name)
     for ids, raws in tb.blocks(batches, "doc_id", "text"):
         counts, hashes, decoded = [], [], []
         for raw in raws:
-            got = list(enc.values((raw or b"").decode("utf-8", "replace")))
-            packed = b"".join([v[0] for v in got])
-            counts.append(len(packed) // 4)
-            hashes.append(hashlib.sha256(packed).hexdigest())
-            decoded.append(hashlib.sha256(" ".join([v[1] for v in got if v[0]]).encode()).hexdigest())
+            n, of_ids, of_text, state = 0, hashlib.sha256(), hashlib.sha256(), Decoder(enc.strings, b" ")
+            for packed in enc.packed((raw or b"").decode("utf-8", "replace")):
+                some = array("I", packed)
+                n += len(some)
+                of_ids.update(packed if LITTLE else swapped(some))
+                of_text.update(state.feed(some).encode())
+            of_text.update(state.finish().encode())
+            counts.append(n)
+            hashes.append(of_ids.hexdigest())
+            decoded.append(of_text.hexdigest())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
+def swapped(ids: array) -> bytes:
+    out = array("I", ids)
+    out.byteswap()
+    return out.tobytes()
+
+
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, ids (array of int): the tokens of every text."""
 

@@ -91,20 +91,73 @@ def test_bpe_equals_library(spark):
 
 
 def test_bpe_streams_long_words():
-    enc = bpe_stream.encoder()
-    m = enc.merges
-    for alphabet, n in (("than", 6000), ("e", 5000), ("io", 4000)):
+    m = bpe_stream.encoder().merges
+    r = random.Random(1)
+    for alphabet, n in (("than", 6000), ("e", 5000), ("io", 4000), (["an", "nan", "tion", "ti", "on", "ing"], 1500), ("abcdefghijklmnopqrstuvwxyz", 5000)):
         raw = "".join(random.Random(n).choices(alphabet, k=n)).encode()
-        run = bpe_stream.Transducer(m)
-        early = [t for b in raw for t in run.push(b)]
-        assert len(run.held) <= run.room
+        run, early, at = bpe_stream.Transducer(m), [], 0
+        run.room = m.room + r.randrange(64)
+        while at < len(raw):
+            step = r.randint(1, 300)
+            early += run.push(raw[at : at + step])
+            assert len(run.held) <= run.room
+            at += step
+        assert len(early) > 0.5 * n / 5
         assert early + run.finish() == m.merge([m.symbol[b] for b in raw[:-1]] + [m.final[raw[-1]]])
 
 
+def test_lookahead_is_sufficient():
+    """Whatever follows, a token that the lookahead calls stable stays; `mo` needs the longest one."""
+    m, r = bpe_stream.encoder().merges, random.Random(2)
+    tokens = [s for s in m.ids if not s.endswith("</w>")]
+    for _ in range(300):
+        symbols = [m.symbol[{c: b for b, c in bpe_stream.LETTER.items()}[x]] for x in "".join(r.choices(tokens, k=60))]
+        whole = m.merge(symbols)
+        for cut in r.choices(range(1, len(symbols)), k=5):
+            used = 0
+            for k, t in enumerate(m.merge(symbols[:cut])):
+                used += m.width[t]
+                if used + m.lookahead[t] > cut:
+                    break
+                assert whole[k] == t
+
+
+def test_all_ids_come_from_the_transducer(monkeypatch):
+    seen = []
+
+    class Counted(bpe_stream.Transducer):
+        def finish(self):
+            out = super().finish()
+            seen.append(self.emitted)
+            return out
+
+    monkeypatch.setattr(bpe_stream, "Transducer", Counted)
+    import public_tokenizers
+
+    enc = bpe_stream.Encoder(public_tokenizers.path(bpe_stream.TOKENIZER))
+    ids = enc.encode("all different words, once each " + "x" * 5000)
+    assert sum(seen) == len(ids) and len(seen) == 7
+
+
+def test_long_texts_go_segment_by_segment(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe_stream, "SEGMENT", 40)
+    tk = Tokenizer.from_file(public_tokenizers.path(bpe_stream.TOKENIZER))
+    for t in [x for x in TEXTS if x and len(x) < 2000] + ["a" * 300 + " b", "é" * 200 + "\u3000Ω " + "don't " * 50]:
+        pieces = list(bpe_stream.encoder().packed(t))
+        ids = np.frombuffer(b"".join(pieces), np.uint32).tolist()
+        assert ids == tk.encode(t, add_special_tokens=False).ids
+        assert bpe_stream.encoder().decode(ids) == tk.decode(ids, skip_special_tokens=False)
+
+
 def test_decoder_takes_cut_bytes():
-    d = bpe_stream.Decoder()
-    assert "".join(d.feed(bytes([b])) for b in "né日🙂".encode()) + d.finish() == "né日🙂"
+    d = bpe_stream.Decoder([bytes([b]) for b in range(256)])
+    assert "".join(d.feed([b]) for b in "né日🙂".encode()) + d.finish() == "né日🙂"
     assert d.feed(b"\xe6") == "" and d.finish() == "�"
+    d = bpe_stream.Decoder([b"a", None, b"b"], b" ")
+    assert d.feed([0, 1]) + d.feed([]) + d.feed([2]) + d.finish() == "a b"
 
 
 def test_token_files(spark):
