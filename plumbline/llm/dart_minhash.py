@@ -15,20 +15,21 @@ with twice the bound.
 Signatures are joined by BANDS bands of ROWS coordinates: a pair at 0.8 is missed
 with probability (1 - 0.8**5)**32 < 4e-6.  Four bits of each coordinate form a
 document's sketch; a pair whose sketches differ in more than MOST_UNLIKE places is no
-candidate (a pair at 0.8 differs in 30 places with a deviation of 5, so 60 are beyond
-six deviations).  Then:
+candidate (a pair at 0.8 differs in 30 places with a deviation of 4.9, so more than 54 have a
+probability below 3e-6).  Then:
 
 1. Documents of equal words are one text (a map-side combined minimum).
 2. A bucket of up to SMALL texts gives all its pairs (a bounded number a text); in a larger one
-   each text is paired with the smallest id there, never with all others.
-3. Of each text's candidates the smallest is checked first, exactly and on whole texts; the
-   others only where the links found so far (large-star, small-star rounds over
-   written tables) leave the two in different classes.
-4. Where a large bucket still holds several classes, ``PIVOTS`` members outside its
-   largest class (four times as many in each further round) are paired with every text of
-   another class there, checked and joined likewise, and leave the bucket.  This ends when
-   the texts left in each bucket are of one class, so any two texts that share a
-   bucket are in one class or were compared; there is no fixed round count.
+   each text is paired with the smallest id there, never with all others.  Of each text's candidates
+   the smallest is checked first, exactly and on whole texts; these links make classes
+   (large-star, small-star rounds over written tables).
+3. What small buckets paired is then checked where the two are in different classes.
+4. A large bucket that holds several classes is cut by hash into bins of about BIN texts or WORDS words, and any two bins
+   meet in one task, whose memory they bound.  There pairs of different classes are taken text by
+   text, checked exactly on whole texts (a text meets all others through an inverted index of the task's
+   shingles), and joined at once, so a task gives links (fewer than it has texts), not pairs.
+   A pair is looked at only in the first band that it shares.  So any two texts that share a bucket are in one class
+   or were compared; no bucket is cut short.
 
 Links go through joins that AQE splits, so a class may hold a third of all
 rows; nothing but counts reaches the driver.
@@ -47,7 +48,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import textblocks as tb
@@ -57,15 +58,17 @@ SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 5, 32
 K = ROWS * BANDS
 #: Places of the sketches (one a coordinate) in which a candidate pair may differ; places of one 64-bit word.
-MOST_UNLIKE, PLACES = 60, 16
+MOST_UNLIKE, PLACES = 54, 16
 #: Documents of a block of signatures (darts go with documents, so this bounds a worker's memory).
 DOCUMENTS = 256
 #: Texts of a bucket that gives all its pairs.
 SMALL = 8
 #: The least rank interval is [0, 2**-FINE); the others double from there.
 FINE = 8
-#: Members of a bucket that the first round after the heads pairs with its other classes.
-PIVOTS = 16
+#: Texts and words of a bin of a large bucket; texts and bytes whose shingles a task keeps.
+BIN, WORDS, KEPT, KEPT_BYTES = 512, 1 << 18, 2048, 16 << 20
+#: Texts of a bin that meet all others there at once.
+STRIP = 32
 
 
 def shingles(raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,33 +211,148 @@ def packed(docs: DataFrame) -> DataFrame:
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard of (sorted shingles, counts)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    least = int(np.minimum(a[1][i], b[1][j]).sum())
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    at = np.searchsorted(b[0], a[0])
+    at[at == len(b[0])] = 0
+    same = b[0][at] == a[0] if len(b[0]) else np.zeros(len(a[0]), bool)
+    least = int(np.minimum(a[1][same], b[1][at[same]]).sum())
     return least / max(1, int(a[1].sum()) + int(b[1].sum()) - least)
 
 
+class Shingles(dict):
+    """Shingles of packed texts by a key; those used last are kept, up to KEPT of them and KEPT_BYTES."""
+
+    def __init__(self) -> None:
+        self.unpacker, self.size = zstandard.ZstdDecompressor(), 0
+
+    def of(self, key: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+        got = self.pop(key, None)
+        if got is None:
+            got = shingles([self.unpacker.decompress(packed)])[1:]
+            self.size += 2 * got[0].nbytes
+        self[key] = got
+        while len(self) > KEPT or self.size > KEPT_BYTES and len(self) > 2:
+            self.size -= 2 * self.pop(next(iter(self)))[0].nbytes
+        return got
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose whole texts are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
-
-        def weighted(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-            return shingles([unpacker.decompress(raw)])[1:]
-
-        last, held = None, None
+        kept = Shingles()
         for batch in batches:
-            good = []
-            for b, x, y in zip(*(batch.column(c).to_pylist() for c in ("b", "text_a", "text_b")), strict=True):
-                if b != last:
-                    last, held = b, weighted(y)
-                good.append(similarity(weighted(x), held) >= threshold)
+            good = [similarity(kept.of(a, x), kept.of(b, y)) >= threshold for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def elements(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and element of texts as sets: the k-th occurrence of a shingle in a text is an element of its own."""
+    owner, shingle, count = shingles(raws)
+    at = np.repeat(np.arange(len(owner)), count)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    return owner[at], tb.mix(shingle[at] + tb.mix(nth.astype(np.uint64)))
+
+
+def forest(group: dict[str, list], threshold: float) -> list[tuple[int, int]]:
+    """Links that join the classes of one task's bins wherever a pair reaches the threshold."""
+    ids, side = np.array(group["a"], np.int64), np.array(group["bin"])
+    total, sketch = np.array(group["total"], float), np.array(group["sketch"], np.int64).view(np.uint64)
+    bands = np.array(group["bands"], np.int64)
+    _, label = np.unique(np.array(group["class"], np.int64), return_inverse=True)
+    if label.max() == 0:
+        return []
+    found: list[tuple[np.ndarray, ...]] = []
+    places = np.arange(len(ids))
+    for at in range(0, len(ids), STRIP):
+        some = places[at : at + STRIP, None]
+        ok = (places > some) & (label != label[some]) & (np.minimum(total, total[some]) >= threshold * np.maximum(total, total[some]))
+        if group["i"][0] != group["j"][0]:
+            ok &= side != side[some]  # pairs within a bin are another task's
+        left, right = np.nonzero(ok)
+        left += at
+        x = sketch[left] ^ sketch[right]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        near = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64) <= MOST_UNLIKE
+        left, right = left[near], right[near]
+        first = (bands[left] == bands[right]).argmax(1) == group["band"][0]
+        found.append((left[first], right[first]))
+    one, other = map(np.concatenate, zip(*found, strict=True))
+    if not len(one):
+        return []
+    unpacker, use = zstandard.ZstdDecompressor(), np.unique(np.append(one, other))
+    owner, element = elements([unpacker.decompress(group["packed"][k]) for k in use.tolist()])
+    sizes = np.bincount(owner, minlength=len(use))
+    own = np.searchsorted(owner, np.arange(len(use) + 1))
+    _, element = np.unique(element, return_inverse=True)
+    holder = owner[np.argsort(element, kind="stable")].astype(np.int32)
+    many = np.bincount(element).astype(np.int32)
+    start = (np.cumsum(many) - many).astype(np.int32)
+    parent = list(range(int(label.max()) + 1))
+
+    def root(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    links = []
+    order = np.argsort(one, kind="stable")
+    one, other = one[order], other[order]
+    cuts = np.append(np.flatnonzero(np.append(True, one[1:] != one[:-1])), len(one))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        i, mine = int(one[lo]), np.searchsorted(use, one[lo])
+        u = root(int(label[i]))
+        partners = np.array([j for j in other[lo:hi].tolist() if root(int(label[j])) != u], np.int64)
+        if not len(partners):
+            continue
+        mine_elements = element[own[mine] : own[mine + 1]]
+        both = np.bincount(holder[tb.spans(start[mine_elements], many[mine_elements])], minlength=len(use))
+        place = np.searchsorted(use, partners)
+        alike = both[place] / (sizes[mine] + sizes[place] - both[place]) >= threshold
+        for j in partners[alike].tolist():
+            u, v = root(u), root(int(label[j]))
+            if u != v:
+                parent[u] = v
+                links.append((int(ids[i]), int(ids[j])))
+    return links
+
+
+def binned(large: DataFrame, found: DataFrame, facts: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between classes that share a bucket of large (key, band, a, n, words)."""
+    now = large.join(found, F.col("a") == F.col("v"), "left").select("key", "band", "a", "n", "words", F.coalesce("class", "a").alias("class"))
+    mixed = now.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("key")
+    bins = F.ceil(F.greatest(F.col("n") / BIN, F.col("words") / WORDS))
+    rows = now.join(mixed, "key").withColumn("bins", bins).withColumn("bin", F.pmod(F.xxhash64("a"), F.col("bins")))
+    rows = written(rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("bins") - 1))).select("key", "band", "a", "class", "bin", F.least("bin", "other").alias("i"), F.greatest("bin", "other").alias("j")), "open")
+    known = packed(docs.join(rows.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")).join(facts, "doc_id").withColumnRenamed("doc_id", "a")
+    names = ["key", "band", "a", "class", "bin", "i", "j", "total", "sketch", "bands", "packed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = {c: [] for c in names}, None
+
+        def links() -> pa.RecordBatch:
+            some = forest(group, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in some], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if (which := (row[0], row[5], row[6])) != last and last is not None:
+                    yield links()
+                    group = {c: [] for c in names}
+                last = which
+                for c, x in zip(names, row, strict=True):
+                    group[c].append(x)
+        if last is not None:
+            yield links()
+
+    return rows.join(known, "a").select(names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "a").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """v, class: the smallest vertex connected with each vertex of links (a, b); large-star and small-star rounds until all are stars."""
     now = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
@@ -260,10 +378,10 @@ def unlike(one: str, other: str) -> Column:
 
 
 def candidates(pairs: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle counts and sketches allow the threshold."""
-    met = pairs.join(facts.toDF("a", "total_a", "sketch_a"), "a").join(facts.toDF("b", "total_b", "sketch_b"), "b")
-    enough = F.least("total_a", "total_b") / F.greatest("total_a", "total_b") >= threshold
-    return met.where(enough).where(unlike("sketch_a", "sketch_b") <= MOST_UNLIKE).select("a", "b")
+    """The pairs (a, b and others) whose shingle counts and sketches allow the threshold."""
+    sides = [facts.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("total", "sketch"))) for x in ("a", "b")]
+    enough = F.least("total_a", "total_b") >= threshold * F.greatest("total_a", "total_b")
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(enough).where(unlike("sketch_a", "sketch_b") <= MOST_UNLIKE).select(*pairs.columns)
 
 
 def parted(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -272,45 +390,29 @@ def parted(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
 
 
-def placed(rest: DataFrame, found: DataFrame) -> DataFrame:
-    """key, a, class and place of the texts in buckets of several classes; the largest class has no place."""
-    now = rest.join(found, F.col("a") == F.col("v"), "left").select("key", "a", F.coalesce("class", "a").alias("class"))
-    most = now.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.class").alias("largest"))
-    held = now.join(most, "key")
-    others = held.where("class <> largest").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("a")))
-    return written(held.where("class = largest").withColumn("place", F.lit(None).cast("int")).union(others).drop("largest"), "open")
-
-
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), same_words_id (smallest doc_id with the same words)."""
     sig = written(signed(docs), "signatures")
     first = written(sig.where("words_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("words_key").agg(F.min("doc_id").alias("same")), "texts")
-    one = sig.join(first.select(F.col("same").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    facts = written(one.select("doc_id", "total", "sketch"), "facts")
-    rows = one.select(F.col("doc_id").alias("a"), F.explode("bands").alias("key"))
-    heads = rows.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
-    members = written(rows.join(heads, "key"), "buckets")
-    few = members.where(F.col("n").between(3, SMALL))
-    others = few.select("key", "a").join(few.select("key", F.col("a").alias("c"), "b"), "key").where("a > c AND c <> b").select("a", F.col("c").alias("b"))
-    pairs = written(candidates(members.where("a <> b").select("a", "b").union(others).distinct(), facts, threshold), "pairs")
-    texts = packed(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    texts = written(texts, "candidates")
-    links = written(verified(pairs.groupBy("a").agg(F.min("b").alias("b")), texts, threshold), "verified")
+    facts = written(sig.join(first.select(F.col("same").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "total", "sketch", "bands"), "facts")
+    rows = facts.select(F.col("doc_id").alias("a"), "total", F.posexplode("bands").alias("band", "key"))
+    heads = rows.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n"), F.sum("total").alias("words")).where("n > 1")
+    members = written(rows.drop("total").join(heads, "key"), "buckets")
+    few = members.where(F.col("n") <= SMALL).select("key", "a")
+    small = few.join(few.withColumnRenamed("a", "b"), "key").where("a > b").select("a", "b", F.lit(True).alias("small"))
+    headed = members.where(F.col("n") > SMALL).where("a <> b").select("a", "b", F.lit(False).alias("small"))
+    pairs = small.union(headed).groupBy("a", "b").agg(F.max("small").alias("small"))
+    pairs = written(candidates(pairs, facts, threshold), "pairs")
+
+    def checked(some: DataFrame) -> DataFrame:
+        texts = packed(docs.join(some.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
+        return written(verified(some, written(texts, "candidates"), threshold), "verified")
+
+    links = checked(pairs.groupBy("a").agg(F.min("b").alias("b")))
+    found = components(links)
+    links = found.toDF("a", "b").union(checked(written(parted(pairs.where("small").select("a", "b"), found), "pairs")))
     found = components(links)
-    new = written(verified(parted(pairs, found), texts, threshold), "verified")
-    if not new.isEmpty():
-        found = components(found.toDF("a", "b").union(new))
-    rest, pivots = members.where(F.col("n") > SMALL).where("a <> b").select("key", "a"), PIVOTS
-    while not (still := placed(rest, found)).isEmpty():
-        pivot = still.where(F.col("place") <= pivots).select("key", *(F.col(c).alias(f"{c}_b") for c in ("a", "class", "place")))
-        met = still.join(pivot, "key").where("class <> class_b AND (place IS NULL OR place > place_b)").select(F.greatest("a", "a_b").alias("a"), F.least("a", "a_b").alias("b")).distinct()
-        more = written(candidates(met, facts, threshold), "pairs")
-        if not more.isEmpty():
-            read = packed(docs.join(more.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
-            new = written(verified(more, read, threshold), "verified")
-            if not new.isEmpty():
-                found = components(found.toDF("a", "b").union(new))
-        rest, pivots = still.where(F.col("place").isNull() | (F.col("place") > pivots)).select("key", "a"), 4 * pivots
+    found = components(links.union(written(binned(members.where(F.col("n") > SMALL), found, facts, docs, threshold), "verified")))
     same = sig.select("doc_id", "words_key").join(first, "words_key", "left")
     same = same.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("same", "doc_id")).alias("same_words_id"))
     return same.join(found, F.col("same_words_id") == F.col("v"), "left").select("doc_id", F.coalesce("class", "same_words_id").alias("class_id"), "same_words_id")

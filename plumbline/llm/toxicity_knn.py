@@ -70,14 +70,6 @@ def distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return h[at], doc[at], np.diff(np.append(at, len(h)))
 
 
-def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """start[0] .. start[0] + n[0] - 1, start[1] .. and so on."""
-    ends = np.cumsum(n, dtype=np.int32)
-    out = np.repeat(start - (ends - n), n)
-    out += np.arange(len(out), dtype=np.int32)
-    return out
-
-
 @dataclass
 class Index:
     terms: np.ndarray  # sorted hashes
@@ -135,7 +127,7 @@ class Index:
     def _search(self, t: np.ndarray, q: np.ndarray, common: np.ndarray, bounds: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
         first = self.first[t]
         n = self.first[t + 1] - first
-        group, weight = spans(first, n), np.repeat(q, n)
+        group, weight = tb.spans(first, n), np.repeat(q, n)
         block = self.block[group]
         bounds = bounds + np.bincount(block, weight * self.most[group], self.blocks)
         order = np.argsort(-bounds, kind="stable")
@@ -152,7 +144,7 @@ class Index:
             here = np.flatnonzero((place >= at) & (place < at + len(some)))
             g = group[here]
             m = self.size[g]
-            posting = spans(self.start[g], m)
+            posting = tb.spans(self.start[g], m)
             slot = np.repeat((place[here] - at) * BLOCK_IDS, m)
             slot += self.rows[posting]
             value = np.repeat(weight[here], m)
