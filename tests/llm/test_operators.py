@@ -2,8 +2,9 @@
 
 import collections
 import hashlib
-import json
+import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -420,7 +421,7 @@ def test_block_max_search_is_exact(monkeypatch, common, block):
 
 def test_url_rules(spark):
     urls = [("http://a.net/x", "net/", "block"), ("http://www.Example.NET/en/1?q", "example.net/en/", "allow"), ("https://m.example.com/de/2#t", "example.com/de/", "block"), ("http://x.org/fr/", "org/fr/", "allow"), ("http://x.net", None, "allow"), ("nothing", None, "allow"), (None, None, "allow"), ("http://notnet/x", None, "allow")]
-    pages = [(i, u, "h") for i, (u, _, _) in enumerate(urls)] + [(100 + i, f"http://{'spam' if i % 2 else 'fine'}.example.com/en/{i}", "h") for i in range(200)]
+    pages = [(i, u, "h") for i, (u, _, _) in enumerate(urls)] + [(100 + i, f"http://{'junk' if i % 2 else 'fine'}.example.com/en/{i}", "h") for i in range(200)]
     df = spark.createDataFrame(pages, "page_id long, url string, host string")
     labels = spark.createDataFrame([(100 + i, 1 - i % 2, 0) for i in range(150)], "doc_id long, quality int, toxic int")
     got = rows(url_rules.judged(df, labels), "page_id")
@@ -439,6 +440,70 @@ def test_url_rules_see_deep_segments(spark):
     assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(200))
 
 
+def brute_rules(urls, labels, support, confidence):
+    """Verdicts by counting every item set; urls: by page_id; labels: page_id to bad."""
+    def parts(url):
+        scheme, rest = url.split("://", 1) if "://" in url else ("", "")
+        host = re.match("[^/?#]*", rest).group().lower()
+        path = re.match("[^?#]*", rest[len(host) :]).group()
+        query = re.search(r"\?([^#]*)", rest)
+        return scheme, host, path, query.group(1) if query else ""
+
+    def fixed(host, path):
+        fits = [(len(h + p), v) for v, h, p in url_rules.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    def items(scheme, host, path, query):
+        names = [x for x in host.split(".") if x]
+        out = {f"scheme={scheme.lower()}"} | {f"host={x}" for x in names} | {f"word={w}" for x in names if "-" in x for w in x.split("-") if w} | {f"path={re.sub('[0-9]+', '0', x)}" for x in path.split("/") if x}
+        if len(names) > 1:
+            out.add("domain=" + ".".join(names[-2:]))
+        if m := re.search(r"\.([A-Za-z0-9]{1,5})$", path):
+            out.add("ext=" + m.group(1))
+        return frozenset(out | {"query=" + x.split("=")[0] for x in query.split("&") if x})
+
+    known, baskets = {}, []
+    for i, u in urls.items():
+        p = parts(u)
+        known[i] = (fixed(*p[1:3]), items(*p) if p[1] else frozenset())
+        label = "block" if set(re.split("[.-]", p[1])) & set(url_rules.SEEDS) else known[i][0] or ({True: "block", False: "allow"}.get(labels.get(i)))
+        if label and p[1]:
+            baskets.append((known[i][1], label == "block"))
+    counts, blocked = collections.Counter(), collections.Counter()
+    for have, bad in baskets:
+        for n in range(1, len(have) + 1):
+            for some in itertools.combinations(sorted(have), n):
+                counts[some] += 1
+                blocked[some] += bad
+    least = max(support * len(baskets), url_rules.LEAST_PAGES)
+    base = sum(b for _, b in baskets) / max(len(baskets), 1)
+    rules = [set(k) for k, n in blocked.items() if n >= least and n / counts[k] >= confidence and n / counts[k] > base]
+    return {i: v or ("block" if any(r <= have for r in rules) else "allow") for i, (v, have) in known.items()}, rules
+
+
+def test_url_rules_are_mined_as_by_counting(spark):
+    r = random.Random(4)
+    urls = {i: f"http{r.choice(['', 's'])}://{r.choice(['www.', 'm.', ''])}{r.choice(['fine', 'casino-win', 'big-win', 'other'])}.example.{r.choice(['com', 'net', 'org'])}/{r.choice(['en', 'de', 'fr'])}/{r.randrange(99)}{r.choice(['', '.html', '?page=2&ref=x'])}" for i in range(400)}
+    labels = {i: r.random() < 0.2 for i in range(0, 400, 3)}
+    df = spark.createDataFrame([*urls.items(), (None, urls[5]), (None, None)], "page_id long, url string")
+    table = spark.createDataFrame([(i, int(not b), 0) for i, b in labels.items()], "doc_id long, quality int, toxic int")
+    want, rules = brute_rules(urls, labels, url_rules.SUPPORT, url_rules.CONFIDENCE)
+    out = url_rules.judged(df, table).collect()
+    got = {x.page_id: x.verdict for x in out if x.page_id is not None}
+    assert got == want and rules
+    assert sorted(x.verdict for x in out if x.page_id is None) == sorted(["allow", want[5]])
+    assert {"path=de"} in rules and any(want[i] == "block" and "casino" in u and "example.org/en" in u for i, u in urls.items())
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_url_rules_change_verdicts_on_the_tables(spark, sf):
+    at = f"/root/testdata/{sf}"
+    if not os.path.exists(at):
+        pytest.skip("no driver tables")
+    out = url_rules.op9_url_rules(spark, at)
+    assert out.where("rule IS NULL AND verdict = 'block'").count() > 0 and out.where("rule IS NULL AND verdict = 'allow'").count() > 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
@@ -446,7 +511,7 @@ def test_pipeline_stages(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(words(prose(2, 40))[3:20]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = rows(corpus_pipeline.run(spark, str(tmp_path)))
     assert set(out) == {5, 9, 12}
-    assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "MinHash near-dedup", "substring dedup", "benchmark decontamination", "BPE encoding and decoding"]
 
 
 def test_rows_without_id(spark):
