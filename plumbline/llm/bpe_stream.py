@@ -46,7 +46,7 @@ from plumbline.llm.shared import table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words and white-space-free runs kept at once in a worker's memory; longer ones than LONG are never kept.
-KEPT, RUNS, LONG = 50_000, 250_000, 48
+KEPT, RUNS, LONG = 200_000, 250_000, 48
 #: Characters of a segment of a text; bytes pushed at once.
 SEGMENT, PUSHED = 1 << 16, 1 << 12
 #: White space of the file's pattern (Unicode White_Space).
@@ -73,10 +73,11 @@ class MergeList:
     def __init__(self, model: dict) -> None:
         self.ids: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
-        self.rules: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Of a pair its rule's place in the list and the new token, as one number: the least is the strongest.
+        self.rules: dict[tuple[int, int], int] = {}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         for rank, (a, b) in enumerate(merges):
-            self.rules.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
+            self.rules.setdefault((self.ids[a], self.ids[b]), rank << 32 | self.ids[a + b])
         self.symbol = [self.ids.get(LETTER[b]) for b in range(256)]
         self.final = [self.ids.get(LETTER[b] + self.end) for b in range(256)]
         self.width = {i: len(s.removesuffix(self.end) if self.end else s) for s, i in self.ids.items()}
@@ -89,7 +90,8 @@ class MergeList:
         whole: dict[int, int] = {}  # reach of the rules so far that take a token as their left part
         inner: dict[int, int] = {}  # reach into a token's last pieces before they are merged
         used: set[int] = set()
-        for (a, b), (_, new) in sorted(self.rules.items(), key=lambda r: r[1][0]):
+        for (a, b), rule in sorted(self.rules.items(), key=lambda r: r[1]):
+            new = rule & 0xFFFFFFFF
             if new in used:
                 raise ValueError("a rule makes a token that an earlier rule uses; the lookahead would not be sufficient")
             into = max(whole.get(b, 0), inner.get(b, 0))
@@ -99,27 +101,22 @@ class MergeList:
         return {t: max(whole.get(t, 0), inner.get(t, 0)) for t in self.width}
 
     def merge(self, symbols: list[int]) -> list[int]:
-        """The tokens of a run of symbols: the strongest rule first, everywhere, from the left."""
-        rules = self.rules
-        while len(symbols) > 1:
-            best, new, at = 1 << 60, -1, None
-            for pair in zip(symbols, symbols[1:]):
-                r = rules.get(pair)
-                if r is not None and r[0] < best:
-                    best, new, at = r[0], r[1], pair
-            if at is None:
+        """The tokens of a run of symbols: the strongest rule first, from the left."""
+        get, none, out = self.rules.get, 1 << 62, symbols[:]
+        found = [get(pair, none) for pair in zip(out, out[1:])]
+        n = len(found)
+        while n:
+            best = min(found)
+            if best == none:
                 break
-            a, b = at
-            out, k, n = [], 0, len(symbols)
-            while k < n:
-                if k + 1 < n and symbols[k] == a and symbols[k + 1] == b:
-                    out.append(new)
-                    k += 2
-                else:
-                    out.append(symbols[k])
-                    k += 1
-            symbols = out
-        return symbols
+            i, n = found.index(best), n - 1
+            out[i] = new = best & 0xFFFFFFFF
+            del out[i + 1], found[i]
+            if i:
+                found[i - 1] = get((out[i - 1], new), none)
+            if i < n:
+                found[i] = get((new, out[i + 1]), none)
+        return out
 
 
 class Transducer:
@@ -137,14 +134,17 @@ class Transducer:
 
     def push(self, raw: bytes) -> list[int]:
         """The last byte waits, as it may end the word."""
-        out: list[int] = []
-        symbol = self.merges.symbol
-        for byte in raw:
-            if self.last is not None and (s := symbol[self.last]) is not None:
-                self.held.append(s)
-                if len(self.held) >= self.room:
-                    out += self._stable()
-            self.last = byte
+        if self.last is not None:
+            raw = bytes((self.last,)) + raw
+        if not raw:
+            return []
+        self.last, out, at, end = raw[-1], [], 0, len(raw) - 1
+        while at < end:
+            step = min(end, at + self.room - len(self.held))
+            self.held += [s for b in raw[at:step] if (s := self.merges.symbol[b]) is not None]
+            at = step
+            if len(self.held) >= self.room:
+                out += self._stable()
         return out
 
     def _stable(self) -> list[int]:
@@ -217,38 +217,43 @@ class Encoder:
 
         class Runs(dict):
             def __missing__(self, run: str) -> bytes:
-                ids = b"".join(outer.run(run))
-                if len(run) <= LONG:
-                    if len(self) >= RUNS:
-                        self.clear()
-                    self[run] = ids
+                if len(run) > LONG:
+                    return b"".join(outer.run(run))
+                ids = b"".join([outer.pieces.get(w) or outer.piece(w) for w in outer.split(run)])
+                if len(self) >= RUNS:
+                    self.clear()
+                self[run] = ids
                 return ids
 
         self.runs = Runs()
+        self.transducer = Transducer(self.merges)
+
+    def split(self, run: str) -> list[str]:
+        """The words of a run without white space: NFC, lower case character by character, split."""
+        if not run.isascii():
+            run = unicodedata.normalize("NFC", run).replace("Σ", "σ")
+        return self.words.findall(run.lower())
 
-    def word(self, word: str) -> Iterator[bytes]:
-        """Ids of one match of the split pattern, as the transducer emits them."""
-        if (found := self.pieces.get(word)) is not None:
-            yield found
-            return
-        raw, run = word.encode(), Transducer(self.merges)
+    def piece(self, word: str) -> bytes:
+        """Ids of one word, kept if it is short."""
+        raw = word.encode()
+        ids = array("I", self.transducer.push(raw) + self.transducer.finish()).tobytes()
         if len(raw) <= LONG:
-            found = array("I", run.push(raw) + run.finish()).tobytes()
             if len(self.pieces) >= KEPT:
                 self.pieces.clear()
-            self.pieces[word] = found
-            yield found
-            return
-        for at in range(0, len(raw), PUSHED):
-            yield array("I", run.push(raw[at : at + PUSHED])).tobytes()
-        yield array("I", run.finish()).tobytes()
+            self.pieces[word] = ids
+        return ids
 
     def run(self, run: str) -> Iterator[bytes]:
-        """Ids of text without white space: NFC, lower case character by character, split, merge."""
-        if not run.isascii():
-            run = unicodedata.normalize("NFC", run).replace("Σ", "σ")
-        for w in self.words.finditer(run.lower()):
-            yield from self.word(w.group())
+        """Ids of text without white space, as the transducer emits them."""
+        for w in self.split(run):
+            if len(w) <= LONG:
+                yield self.pieces.get(w) or self.piece(w)
+                continue
+            raw = w.encode()
+            for at in range(0, len(raw), PUSHED):
+                yield array("I", self.transducer.push(raw[at : at + PUSHED])).tobytes()
+            yield array("I", self.transducer.finish()).tobytes()
 
     def packed(self, text: str) -> Iterator[bytes]:
         """Ids of a text as native unsigned 32-bit integers, segment by segment."""

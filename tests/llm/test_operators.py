@@ -128,8 +128,8 @@ def test_all_ids_come_from_the_transducer(monkeypatch):
 
     class Counted(bpe_stream.Transducer):
         def finish(self):
-            out = super().finish()
-            seen.append(self.emitted)
+            out, n = super().finish(), sum(seen)
+            seen.append(self.emitted - n)
             return out
 
     monkeypatch.setattr(bpe_stream, "Transducer", Counted)
