@@ -9,18 +9,18 @@ removed; windows are judged on the input.
    are merged chunk by chunk, counting to two.  A merged count never is below
    the true one, so a window of two documents is never lost.
 2. The merged bits (``ROWS`` x cells / 8 bytes, at most ``MOST_CELLS`` cells, so
-   64 MB) are broadcast; only windows estimated repeated are sent on, with 96
-   hash bits, once for each document, and grouped exactly by these bits.
+   64 MB) are broadcast; only windows estimated repeated go on, with 96
+   hash bits, once for each document, and are grouped exactly by these bits.  A task resolves what it
+   can itself: of the documents that it met with a window all but that of the least doc_id lose it, whatever others
+   hold; only the least one is sent on.  So a window sends one row a task, however many documents share it,
+   and no bucket holds more than a row a window and task.
    Beyond about MOST_CELLS windows the filter lets more windows pass; results
-   stay the same, and the exact pass alone carries the load.
-3. The positions found come together by document (one row each) and the words go.
-
-A window that a third of all documents share is spread over the buckets of its
-many hashes; a window inside one document is sent once.
+   stay the same, and the exact pass carries the load in as many buckets as the texts' size asks for.
+3. The positions found come together by row and the words go.
 
 Cases: null counts as the empty text; a document of fewer than N words loses
-nothing; words are compared byte by byte.  doc_id is a key; a row without one loses nothing and takes nothing from others; rows that repeat a
-doc_id with the same text get the same result.  An empty table gives an empty
+nothing; words are compared by two hashes of their bytes.  A row without doc_id loses nothing and takes nothing from others.  Rows that repeat a
+doc_id take nothing from each other and are judged each by its own text (a row is known by a 64-bit hash of doc_id and text).  An empty table gives an empty
 result.  Other columns are carried by ``dedup`` and not read by the query.
 """
 
@@ -32,17 +32,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import textblocks as tb
-from plumbline.llm.shared import shuffle_partitions, table
+from plumbline.llm.shared import shuffle_partitions, table, unused
 
 N, ROWS, MOST_CELLS, LEAST_CELLS, CHUNKS = 13, 2, 1 << 28, 1 << 16, 64
-#: Windows that a task holds before it sends them on.
-HELD = 1 << 21
+#: Windows that a task holds before it sends them on; bytes of text for each bucket of the exact pass.
+HELD, BUCKET_BYTES = 1 << 19, 8 << 20
 _ROW = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
-PACKED = "doc_id long, packed binary"
+PACKED = "doc_id long, row long, packed binary"
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -62,12 +62,19 @@ def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return tb.mix(h * _ROW[row]) >> np.uint64(64 - bits)
 
 
-def sketch_bits(docs: DataFrame) -> int:
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def sketch_bits(size: int) -> int:
     """Twice as many cells as words at least, from the texts' total length, within the bounds."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return (min(MOST_CELLS, max(LEAST_CELLS, size // 4)) - 1).bit_length()
 
 
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def sketch(docs: DataFrame, n: int, bits: int) -> list[np.ndarray]:
     """For each row the bits of cells counted twice or more."""
     per = 1 << (bits - 6)
@@ -127,88 +134,106 @@ def repeated(rows: list[np.ndarray], h: np.ndarray, bits: int) -> np.ndarray:
     return hit
 
 
+def parted(rows: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Late windows (row, position) as blobs by the bucket of their row."""
+    home = (tb.mix(rows.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((rows, home))
+    rows, pos, home = rows[order], pos[order], home[order]
+    cuts = np.flatnonzero(home[1:] != home[:-1]) + 1
+    blobs = [b"L" + r.astype("<i8").tobytes() + p.astype("<u4").tobytes() for r, p in zip(np.split(rows, cuts), np.split(pos, cuts), strict=True)] if len(rows) else []
+    return pa.RecordBatch.from_arrays([pa.array(home[np.append(0, cuts)] if len(rows) else home), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+
+def lost(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by window and doc_id, and which in that order have a smaller doc_id beside them."""
+    order = np.lexsort((ids, h2, h1))
+    a, b, i = h1[order], h2[order], ids[order]
+    new = np.append(np.ones(min(1, len(i)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    least = i[np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))]
+    return order, i > least
+
+
 def found(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, positions (sorted unsigned 32-bit integers): windows that a smaller doc_id has; each distinct window of a document once."""
+    """row, positions (unsigned 32-bit integers): windows that a smaller doc_id has; each distinct window of a row once."""
     spark = docs.sparkSession
-    docs = docs.where("doc_id IS NOT NULL")
-    bits = sketch_bits(docs)
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", row_key().alias("row"), "text")
+    size = text_bytes(docs)
+    bits = sketch_bits(size)
     shared = spark.sparkContext.broadcast(sketch(docs, n, bits))
-    buckets = max(shuffle_partitions(spark), (1 << bits) >> 22)
+    buckets = max(shuffle_partitions(spark), -(-size // BUCKET_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, packer, held, size = shared.value, zstandard.ZstdCompressor(level=1), [], 0
+        bits_of, packer, held, size = shared.value, zstandard.ZstdCompressor(level=1), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            ids, pos, h1, h2 = (np.concatenate(c) for c in zip(*held, strict=True))
-            bucket = (h1 % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-            keys, blobs = [], []
-            for b, part in enumerate(np.split(order, ends[:-1])):
-                if len(part):
-                    places = np.column_stack([np.diff(ids[part], prepend=0), pos[part]]).astype("<i8")
-                    blobs.append((len(part)).to_bytes(4, "little") + h1[part].astype("<u8").tobytes() + h2[part].astype("<u4").tobytes() + packer.compress(places.T.tobytes()))
-                    keys.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
-
-        for ids, raws in tb.blocks(batches, "doc_id", "text"):
+            ids, rows, pos, h1, h2 = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order, late = lost(h1, h2, ids)
+            yield parted(rows[order[late]], pos[order[late]], buckets)
+            some = order[~late]
+            bucket = (h1[some] % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            some, bucket = some[by], bucket[by]
+            cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            keys, blobs = bucket[np.append(0, cuts)], []
+            for part in np.split(some, cuts):
+                places = packer.compress(np.stack([ids[part], rows[part], pos[part]]).astype("<i8").tobytes())
+                blobs.append(b"W" + len(part).to_bytes(4, "little") + h1[part].astype("<u8").tobytes() + h2[part].astype("<u4").tobytes() + places)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+        for keys, raws in tb.blocks(batches, ("doc_id", "row"), "text"):
             doc, pos, h1, h2 = windows(raws, n)
-            hit = np.flatnonzero(repeated(rows, h1, bits))
+            hit = np.flatnonzero(repeated(bits_of, h1, bits))
             if len(hit):
                 _, first = np.unique(h1[hit] ^ tb.mix(doc[hit].astype(np.uint64) + np.uint64(1)), return_index=True)
                 hit = hit[np.sort(first)]
-                held.append((np.asarray(ids, np.int64)[doc[hit]], pos[hit], h1[hit], (h2[hit] & np.uint64(0xFFFFFFFF))))
+                ids, rows = np.array(keys, np.int64).T
+                held.append((ids[doc[hit]], rows[doc[hit]], pos[hit], h1[hit], h2[hit] & np.uint64(0xFFFFFFFF)))
                 size += len(hit)
-                if size >= HELD // 2:
+                if size >= HELD:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from flush()
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Late windows pass on; of the others those go on that a smaller doc_id has."""
         unpacker, got = zstandard.ZstdDecompressor(), {}
         for batch in batches:
+            late = []
             for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                got.setdefault(b, []).append(blob)
+                late.append(blob[:1] == b"L")
+                if not late[-1]:
+                    got.setdefault(b, []).append(blob)
+            yield batch.filter(pa.array(late, pa.bool_()))
         for b in list(got):
-            cols: list[list[np.ndarray]] = [[], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for blob in got.pop(b):
-                m = int.from_bytes(blob[:4], "little")
-                step, pos = np.frombuffer(unpacker.decompress(blob[4 + 12 * m :]), "<i8").reshape(2, m)
-                for c, x in zip(cols, (np.frombuffer(blob, "<u8", m, 4), np.frombuffer(blob, "<u4", m, 4 + 8 * m), np.cumsum(step), pos.astype(np.uint32)), strict=True):
+                m = int.from_bytes(blob[1:5], "little")
+                ids, rows, pos = np.frombuffer(unpacker.decompress(blob[5 + 12 * m :]), "<i8").reshape(3, m)
+                for c, x in zip(cols, (np.frombuffer(blob, "<u8", m, 5), np.frombuffer(blob, "<u4", m, 5 + 8 * m), ids, rows, pos), strict=True):
                     c.append(x)
-            h1, h2, ids, pos = map(np.concatenate, cols)
-            order = np.lexsort((ids, h2, h1))
-            h1, h2, ids, pos = h1[order], h2[order], ids[order], pos[order]
-            new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
-            least = ids[np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))]
-            late = ids > least
-            ids, pos = ids[late], pos[late]
-            home = tb.mix(ids.astype(np.uint64)) % np.uint64(buckets)
-            order = np.argsort(home, kind="stable")
-            ids, pos, home = ids[order], pos[order], home[order]
-            cuts = np.flatnonzero(home[1:] != home[:-1]) + 1
-            if len(ids):
-                blobs = [i.astype("<i8").tobytes() + p.astype("<u4").tobytes() for i, p in zip(np.split(ids, cuts), np.split(pos, cuts), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(home[np.append(0, cuts)].astype(np.int32)), pa.array(blobs, pa.binary())], names=["home", "blob"])
+            h1, h2, ids, rows, pos = map(np.concatenate, cols)
+            order, late = lost(h1, h2, ids)
+            yield parted(rows[order[late]], pos[order[late]], buckets)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, pos = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        rows, pos = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
                 m = len(blob) // 12
-                ids.append(np.frombuffer(blob, "<i8", m))
-                pos.append(np.frombuffer(blob, "<u4", m, 8 * m))
-        i, p = np.concatenate(ids), np.concatenate(pos)
-        if len(i):
-            order = np.argsort(i, kind="stable")
-            i, p = i[order], p[order]
-            cuts = np.flatnonzero(i[1:] != i[:-1]) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(i[np.append(0, cuts)]), pa.array([x.astype("<u4").tobytes() for x in np.split(p, cuts)], pa.binary())], names=["doc_id", "positions"])
+                rows.append(np.frombuffer(blob, "<i8", m, 1))
+                pos.append(np.frombuffer(blob, "<u4", m, 1 + 8 * m))
+        r, p = np.concatenate(rows), np.concatenate(pos)
+        if len(r):
+            order = np.argsort(r, kind="stable")
+            r, p = r[order], p[order]
+            cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(r[np.append(0, cuts)]), pa.array([x.astype("<u4").tobytes() for x in np.split(p, cuts)], pa.binary())], names=["row", "positions"])
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, "bucket int, blob binary")
-    late = sent.repartition(buckets, "bucket").mapInArrow(group, "home int, blob binary")
-    return late.repartition(buckets, "home").mapInArrow(gather, "doc_id long, positions binary")
+    schema = "bucket int, blob binary"
+    late = docs.mapInArrow(send, schema).repartition(buckets, "bucket").mapInArrow(group, schema)
+    return late.repartition(buckets, "bucket").mapInArrow(gather, "row long, positions binary")
 
 
 def kept_words(raw: bytes | None, positions: bytes | None, n: int) -> tuple[int, list[bytes]]:
@@ -231,10 +256,11 @@ def _joined(docs: DataFrame, n: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
-        for ids, raws in tb.blocks(batches, "doc_id", "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([packer.compress(r or b"") for r in raws], pa.binary())], names=["doc_id", "packed"])
+        for keys, raws in tb.blocks(batches, ("doc_id", "row"), "text"):
+            ids, rows = zip(*keys, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array([packer.compress(r or b"") for r in raws], pa.binary())], names=["doc_id", "row", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(pack, PACKED).join(found(docs, n), "doc_id", "left")
+    return docs.select("doc_id", row_key().alias("row"), "text").mapInArrow(pack, PACKED).join(found(docs, n), "row", "left")
 
 
 def dedup_digests(docs: DataFrame, n: int = N) -> DataFrame:
@@ -256,13 +282,14 @@ def dedup_digests(docs: DataFrame, n: int = N) -> DataFrame:
 
 def dedup(docs: DataFrame, n: int = N) -> DataFrame:
     """docs with each text's kept words, joined by single spaces where words were removed; other texts stay as they are, as do other columns."""
-    late = found(docs, n).withColumnRenamed("doc_id", "late_id__").withColumnRenamed("positions", "late__")
+    row, positions = unused(docs, "late_row"), unused(docs, "late_positions")
+    late = found(docs, n).toDF(row, positions)
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for raw, late in zip(binaries_of(batch), batch.column("late__").to_pylist(), strict=True):
+            for raw, late in zip(binaries_of(batch), batch.column(positions).to_pylist(), strict=True):
                 texts.append(raw if not late else b" ".join(kept_words(raw, late, n)[1]))
             field = batch.schema.field("text")
             out = batch.select(names)
@@ -271,7 +298,7 @@ def dedup(docs: DataFrame, n: int = N) -> DataFrame:
     def binaries_of(batch: pa.RecordBatch) -> list[bytes | None]:
         return tb.binaries(batch.column("text"))
 
-    return docs.join(late, F.col("doc_id") == F.col("late_id__"), "left").drop("late_id__").mapInArrow(run, schema)
+    return docs.withColumn(row, row_key()).join(late, row, "left").drop(row).mapInArrow(run, schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

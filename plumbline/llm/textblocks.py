@@ -129,13 +129,13 @@ def as_ids(ids: list[int | None], absent: int = -(1 << 63)) -> np.ndarray:
     return np.array([absent if i is None else i for i in ids], np.int64)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], key: str, text: str, size: int = 1 << 20, rows: int = 1024) -> Iterator[tuple[list[int], list[bytes | None]]]:
-    """(keys, texts) of `size` bytes and `rows` rows at most, or one longer text; null texts stay null."""
+def blocks(batches: Iterator[pa.RecordBatch], key: str | tuple[str, ...], text: str, size: int = 1 << 20, rows: int = 1024) -> Iterator[tuple[list, list[bytes | None]]]:
+    """(keys, texts) of `size` bytes and `rows` rows at most, or one longer text; null texts stay null.  Several key columns give tuples."""
     for batch in batches:
-        n = batch.num_rows
-        ids, column = batch.column(key), batch.column(text)
-        for start in range(0, n, rows):
-            part, texts = ids.slice(start, rows).to_pylist(), binaries(column.slice(start, rows))
+        for start in range(0, batch.num_rows, rows):
+            some = batch.slice(start, rows)
+            part = some.column(key).to_pylist() if isinstance(key, str) else list(zip(*(some.column(k).to_pylist() for k in key), strict=True))
+            texts = binaries(some.column(text))
             at, held = 0, 0
             for i, t in enumerate(texts):
                 held += len(t or b"")

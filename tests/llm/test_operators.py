@@ -227,6 +227,17 @@ def test_substring_dedup(spark):
     assert substring_dedup.dedup_digests(frame(spark, [])).count() == 0
 
 
+def test_substring_dedup_of_clashing_and_repeated_rows(spark, monkeypatch):
+    """Rows of one doc_id take nothing from each other; hot windows go one row a flush."""
+    monkeypatch.setattr(substring_dedup, "HELD", 64)
+    data = [(1, prose(1, 40)), (1, f"{prose(2, 90)} {SHARED}"), (1, prose(1, 40)), (2, f"x {SHARED}"), (2, prose(1, 30)), (None, SHARED), (0, None)] + [(100 + i, f"{SHARED} {i}") for i in range(60)]
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substring_dedup.dedup_digests(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {(1, 40): 0, (1, 150): 0, (2, 61): 60, (2, 30): 30, (None, 60): 0, (0, 0): 0} | {(100 + i, 61): 60 for i in range(60)}
+    df = spark.createDataFrame([(*r, "a", "b") for r in data], "doc_id long, text string, late_row string, late_positions string")
+    out = substring_dedup.dedup(df)
+    assert out.schema == df.schema and out.count() == len(data) and out.where("text = '7'").count() == 1
+
+
 def test_sketch_never_undercounts():
     h = np.arange(5000, dtype=np.uint64) * np.uint64(977)
     bits = 16
