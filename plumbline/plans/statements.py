@@ -13,7 +13,7 @@ from plumbline.plans.dialects import Spark
 
 Statement = Callable[[Spark], str]
 DAILY = """SELECT user_id, CAST(ts AS DATE) AS day, round(sum(value * (event_id % 5)) / sum(event_id % 5), 6) AS v, count(*) AS n
-FROM events WHERE event_id % 5 > 0 GROUP BY 1, 2"""
+FROM events GROUP BY user_id, CAST(ts AS DATE) HAVING sum(event_id % 5) > 0"""
 
 
 def peak_first_tie(f: Spark) -> str:
@@ -96,9 +96,9 @@ def key_last_writer(f: Spark) -> str:
 
 
 def conditional_upsert(f: Spark) -> str:
-    """Stored orders meet incoming ones: the refresh state follows the closed flag."""
-    return """WITH stored AS (SELECT o_orderkey AS k, o_orderstatus = 'F' AS closed, CASE WHEN o_orderkey % 7 = 0 THEN 'pending' WHEN o_orderkey % 7 = 1 THEN 'active' ELSE 'none' END AS refresh FROM orders WHERE o_orderkey % 3 <> 0),
-incoming AS (SELECT o_orderkey AS k, o_orderpriority < '3' AS closed FROM orders WHERE o_orderkey % 4 <> 0)
+    """Stored orders meet what their lines say: the refresh state follows the closed flag."""
+    return """WITH stored AS (SELECT o_orderkey AS k, o_orderstatus = 'F' AS closed, CASE WHEN o_orderpriority = '1-URGENT' THEN 'pending' WHEN o_orderpriority = '2-HIGH' THEN 'active' ELSE 'none' END AS refresh FROM orders),
+incoming AS (SELECT l_orderkey AS k, max(l_linestatus) = 'F' AS closed FROM lineitem GROUP BY l_orderkey)
 SELECT coalesce(s.k, i.k) AS k, coalesce(i.closed, s.closed) AS closed, CASE WHEN s.k IS NULL THEN 'none' WHEN i.k IS NULL THEN s.refresh WHEN NOT i.closed THEN 'none'
 WHEN NOT s.closed THEN 'pending' ELSE s.refresh END AS refresh, s.k IS NULL AS discovered FROM stored s FULL OUTER JOIN incoming i ON s.k = i.k"""
 
@@ -122,13 +122,14 @@ SELECT user_id, CAST(traversal AS BIGINT) AS traversal, cur, CAST(count(*) AS BI
 
 
 def identity_reconcile(f: Spark) -> str:
+    """Texts of documents and of conversations: each table is read once, and the two sides meet in one aggregate."""
     h = f.sha("text")
-    a, b = f"SELECT {h} AS h FROM documents WHERE doc_id % 3 <> 0", f"SELECT {h} AS h FROM documents WHERE doc_id % 5 <> 0"
-    return f"SELECT 'committed only' AS side, h FROM (({a}) EXCEPT ({b})) x UNION ALL SELECT 'indexed only' AS side, h FROM (({b}) EXCEPT ({a})) y"
+    return f"""WITH x AS (SELECT h, max(a) AS a, max(b) AS b FROM (SELECT {h} AS h, 1 AS a, 0 AS b FROM documents UNION ALL SELECT {h} AS h, 0 AS a, 1 AS b FROM conversations) u GROUP BY h)
+SELECT CASE WHEN a = 1 THEN 'committed only' ELSE 'indexed only' END AS side, h FROM x WHERE a <> b"""
 
 
 def orphan_rows(f: Spark) -> str:
-    return "SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderkey % 11 <> 0) GROUP BY l_orderkey"
+    return "SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'F') GROUP BY l_orderkey"
 
 
 def latest_checkpoint(f: Spark) -> str:
@@ -137,7 +138,7 @@ def latest_checkpoint(f: Spark) -> str:
 
 def cursor_set_compare(f: Spark) -> str:
     k = f.json("props", "$.k")
-    return f"""WITH a AS (SELECT user_id, {f.join_sorted(k)} AS seen FROM events WHERE event_id % 2 = 0 GROUP BY user_id), b AS (SELECT user_id, {f.join_sorted(k)} AS held FROM events WHERE event_id % 3 = 0 GROUP BY user_id)
+    return f"""WITH a AS (SELECT user_id, {f.join_sorted(k)} AS seen FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id), b AS (SELECT user_id, {f.join_sorted(k)} AS held FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY user_id)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, seen, held, seen IS NOT DISTINCT FROM held AS equal FROM a FULL OUTER JOIN b ON a.user_id = b.user_id"""
 
 
@@ -148,7 +149,7 @@ SELECT coalesce(nullif({f.text("quality")}, ''), 'UNKNOWN') AS category, CAST(su
 
 def supplier_region_mapping(f: Spark) -> str:
     return """WITH c AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey)
-SELECT coalesce(r_name, 'UNKNOWN') AS region, CAST(sum(n) AS BIGINT) AS n FROM c LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_suppkey % 9 <> 0 LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1"""
+SELECT coalesce(r_name, 'UNKNOWN') AS region, CAST(sum(n) AS BIGINT) AS n FROM c LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0 LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1"""
 
 
 def pending_topk(f: Spark) -> str:
@@ -157,16 +158,17 @@ def pending_topk(f: Spark) -> str:
 
 def inventory_stats(f: Spark) -> str:
     figures = f"CAST(count(*) AS BIGINT) AS n, round(min({f.epoch('ts')}), 3) AS first_ts, round(max({f.epoch('ts')}), 3) AS last_ts, CAST(count(DISTINCT user_id) AS BIGINT) AS users"
-    return f"SELECT event_type, {figures} FROM events GROUP BY event_type UNION ALL SELECT 'ALL' AS event_type, {figures} FROM events"
+    return f"SELECT CASE WHEN grouping(event_type) = 1 THEN 'ALL' ELSE event_type END AS event_type, {figures} FROM events GROUP BY GROUPING SETS ((event_type), ())"
 
 
 def quality_gate(f: Spark) -> str:
     return "SELECT event_type, count(*) > 0 AND coalesce(min(CASE WHEN value > 0.02 THEN 1 ELSE 0 END), 0) = 1 AS passed, CAST(sum(CASE WHEN value > 0.02 THEN 0 ELSE 1 END) AS BIGINT) AS failures FROM events GROUP BY event_type"
 
 
-BOOK = """b AS (SELECT l_partkey AS part, CASE WHEN l_returnflag = 'R' THEN 'bid' ELSE 'ask' END AS side, round(l_extendedprice / l_quantity * CASE WHEN l_returnflag = 'R' THEN 0.03 ELSE 1 END / 1000) AS price, l_quantity AS size FROM lineitem WHERE l_returnflag IN ('R', 'N')),
-best AS (SELECT part, max(CASE WHEN side = 'bid' THEN price END) AS bid, min(CASE WHEN side = 'ask' THEN price END) AS ask FROM b GROUP BY part),
-top AS (SELECT b.part, bid, ask, sum(CASE WHEN side = 'bid' AND price = bid THEN size END) AS bid_size, sum(CASE WHEN side = 'ask' AND price = ask THEN size END) AS ask_size FROM b JOIN best ON b.part = best.part GROUP BY b.part, bid, ask)"""
+BOOK = """b AS (SELECT part, side, price, sum(size) AS size FROM (SELECT l_partkey AS part, CASE WHEN l_returnflag = 'R' THEN 'bid' ELSE 'ask' END AS side, round(l_extendedprice / l_quantity * CASE WHEN l_returnflag = 'R' THEN 0.03 ELSE 1 END / 1000) AS price, l_quantity AS size
+FROM lineitem WHERE l_returnflag IN ('R', 'N')) x GROUP BY part, side, price),
+top AS (SELECT part, max(CASE WHEN side = 'bid' THEN price END) AS bid, min(CASE WHEN side = 'ask' THEN price END) AS ask, max_by(CASE WHEN side = 'bid' THEN size END, CASE WHEN side = 'bid' THEN price END) AS bid_size,
+min_by(CASE WHEN side = 'ask' THEN size END, CASE WHEN side = 'ask' THEN price END) AS ask_size FROM b GROUP BY part)"""
 
 
 def top_of_book(f: Spark) -> str:
@@ -212,7 +214,7 @@ SELECT event_id, coalesce(abs(fraction - expected) <= 1e-8 + 1e-5 * abs(expected
 
 def _cube(f: Spark, missing: bool) -> str:
     cell = f"CAST({f.div('i', '8')} AS INT) AS n, CAST(1995 + i % 8 AS INT) AS y, i AS flat"
-    return f"""WITH v AS (SELECT (c_nationkey * 8 + (year(o_orderdate) - 1995)) AS flat, round(sum(o_totalprice), 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) BETWEEN 1995 AND 2002 AND o_orderkey % 40 = 0 GROUP BY 1)
+    return f"""WITH v AS (SELECT (c_nationkey * 8 + (year(o_orderdate) - 1995)) AS flat, round(sum(o_totalprice), 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) BETWEEN 1995 AND 2002 GROUP BY 1)
 SELECT n_name AS geo, y AS year, value, value IS NULL AS is_missing FROM (SELECT {cell} FROM {f.series("200")} s) c JOIN nation ON n = n_nationkey {"LEFT" if missing else "INNER"} JOIN v ON v.flat = c.flat"""
 
 
@@ -272,7 +274,7 @@ def manifest_contract(f: Spark) -> str:
 def ledger_audit(f: Spark) -> str:
     return f"""WITH p AS (SELECT {f.div("event_id", "500")} AS page, count(*) AS held FROM events GROUP BY 1), d AS (SELECT page, CASE WHEN page % 4 = 0 THEN 499 ELSE 500 END AS declared FROM p)
 SELECT 'page count differs' AS problem, CAST(count(*) AS BIGINT) AS n FROM p JOIN d ON p.page = d.page WHERE held IS DISTINCT FROM declared
-UNION ALL SELECT 'row without market', CAST(count(*) AS BIGINT) FROM events e WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id AND c.c_custkey % 13 <> 0)
+UNION ALL SELECT 'row without market', CAST(count(*) AS BIGINT) FROM events e WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id AND c.c_acctbal > 0)
 UNION ALL SELECT 'repeated identity', CAST(count(*) AS BIGINT) FROM (SELECT user_id, event_type, CAST(ts AS DATE) AS d FROM events GROUP BY 1, 2, 3 HAVING count(*) > 1) r"""
 
 
