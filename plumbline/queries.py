@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import seasons
+from plumbline.plans import applied
 from plumbline.plans.dialects import DUCK, SPARK
 from plumbline.plans.statements import STATEMENTS, Statement
 
@@ -62,7 +63,7 @@ s AS (SELECT *, date_diff('day', lag(date) OVER w, date) * (ndvi + lag(ndvi) OVE
 SELECT field_id, count(*) AS good_observations, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date, round(avg(clear_fraction), 6) AS mean_clear_fraction, round(max(ndvi), 6) AS peak_ndvi,
 CAST(arg_min(date, {{'a': -ndvi, 'b': date}}) AS VARCHAR) AS peak_ndvi_date, round(arg_max(ndvi, date), 6) AS latest_ndvi, round(sum(area), 4) AS auc_ndvi_days, round(avg(ndmi), 6) AS mean_ndmi, round(min(ndmi), 6) AS min_ndmi FROM s GROUP BY field_id"""
 
-QUERIES: dict[str, Query] = {"asof_season_features": asof_season_features, "daily_collapse": daily_collapse} | {name: declared(s) for name, s in STATEMENTS.items()}
+QUERIES: dict[str, Query] = {"asof_season_features": asof_season_features, "daily_collapse": daily_collapse} | {name: applied.QUERIES.get(name) or declared(s) for name, s in STATEMENTS.items()}
 SQL: dict[str, str] = {
     "asof_season_features": FEATURES_SQL.format(COLLAPSE_SQL.format(where="WHERE ts <= TIMESTAMP '2024-01-20' AND ts + to_hours(event_id % 72) <= TIMESTAMP '2024-01-20'")),
     "daily_collapse": COLLAPSED.format(COLLAPSE_SQL.format(where="")),
