@@ -3,16 +3,18 @@
 The ids of all documents, each followed by the end id, form one stream in
 ascending doc_id order, cut into sequences of ``WIDTH`` ids; a mask of the
 same shape, of packed bits, marks the ids that belong to the file's documents
-(the last sequence of a file is padded by zeros outside the mask).  Ids take 16
+(the last sequence of a file is padded by zeros outside the mask), and a third column, `ends`, the last id of
+each document; a batch's metadata names the documents that end in it.  So a file alone tells its documents, where they
+start and how long they are.  Ids take 16
 bits where the vocabulary allows it, else 32.  A file is an Arrow
-IPC file of record batches with the columns ``ids`` and ``mask``; being
+IPC file of record batches with these columns; being
 fixed-size lists, sequence i lies at a computed offset, so a memory-mapped
-file gives it without copying or parsing (``Sequences``).  Next to the files
-an index table (doc_id, file, start in the file, tokens) is written.
+file gives it without copying or parsing (``Sequences``).  The table that ``write`` returns has a row a
+file (name, place, documents, tokens).
 
 Range-partitioning by doc_id makes each partition's documents a contiguous
-run, so files are written side by side; ``start`` comes from the sums of the
-files before (one number a file).  A file's name holds its task attempt, and
+run, so files are written side by side, as many as the input's size asks for; a file's place in the stream is the sum of the
+files before (one number a file, by a window over the table of files).  A file's name holds its task attempt, and
 only the names that tasks report count: a lost executor's half-written files
 are never read.
 
@@ -24,6 +26,8 @@ are not read.  Long texts are encoded chunk by chunk.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.ipc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import textblocks as tb
@@ -44,7 +48,9 @@ BATCH = 256
 KEPT, LONG = 400_000, 48
 DOUBLE = re.compile(r"\s\s")
 
-INDEX = "doc_id long, file string, part int, at long, n_tokens long, file_tokens long"
+#: Bytes of input for a file.
+FILE_BYTES = 64 << 20
+INDEX = "file string, part int, documents long, file_tokens long"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -128,13 +134,18 @@ class Writer:
         fs, path = opened(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         self.width, self.held, self.count = width, bytearray(), 0
-        self.schema = pa.schema([("ids", pa.list_(pa.uint16() if small else pa.uint32(), width)), ("mask", pa.list_(pa.bool_(), width))])
+        self.documents, self.ending, self.before = 0, [], 0
+        bits = pa.list_(pa.bool_(), width)
+        self.schema = pa.schema([("ids", pa.list_(pa.uint16() if small else pa.uint32(), width)), ("mask", bits), ("ends", bits)])
         self.out = fs.open_output_stream(path)
         self.file = pa.ipc.new_file(self.out, self.schema)
 
-    def add(self, raw: bytes) -> None:
+    def add(self, doc_id: int | None, raw: bytes) -> None:
+        """The ids of one document, which are at least one."""
         self.held += raw
         self.count += len(raw) // 4
+        self.documents += 1
+        self.ending.append((self.count - 1, doc_id))
         step = 4 * self.width * BATCH
         while len(self.held) >= step:
             self._write(bytes(self.held[:step]), self.width * BATCH)
@@ -142,11 +153,16 @@ class Writer:
 
     def _write(self, raw: bytes, real: int) -> None:
         ids = np.frombuffer(raw, "<u4")
-        mask = np.zeros(len(ids), bool)
+        mask, ends = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
         mask[:real] = True
+        until = bisect.bisect_left(self.ending, self.before + real, key=lambda x: x[0])
+        some, self.ending = self.ending[:until], self.ending[until:]
+        ends[[at - self.before for at, _ in some]] = True
+        self.before += real
+        named = {"doc_ids": np.array([i or 0 for _, i in some], "<i8").tobytes(), "absent": bytes(i is None for _, i in some)}
         ids = ids.astype(self.schema.field("ids").type.value_type.to_pandas_dtype())
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.width) for x in (ids, mask)]
-        self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.width) for x in (ids, mask, ends)]
+        self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema), custom_metadata=named)
 
     def close(self) -> None:
         if self.held:
@@ -174,14 +190,21 @@ class Sequences:
     def sequence(self, i: int, column: str = "ids") -> np.ndarray:
         return self.batch(i // BATCH, column)[i % BATCH]
 
-    def span(self, start: int, n: int) -> Iterator[np.ndarray]:
-        """The n ids from start on, as views."""
-        step = self.width * BATCH
-        while n > 0:
-            flat = self.batch(start // step).reshape(-1)
-            part = flat[start % step : start % step + n]
-            yield part
-            start, n = start + len(part), n - len(part)
+    def documents(self) -> Iterator[tuple[int | None, int, int, int]]:
+        """doc_id, start in the file, number of ids and their crc32 of each document, from views of one batch after another."""
+        before = start = crc = 0
+        for k in range(self.file.num_record_batches):
+            batch, named = self.file.get_batch_with_custom_metadata(k)
+            ids = batch.column("ids").flatten().to_numpy()
+            ends = np.flatnonzero(batch.column("ends").flatten().to_numpy(zero_copy_only=False)) + 1
+            real = int(batch.column("mask").flatten().true_count)
+            doc_ids, absent = np.frombuffer(named[b"doc_ids"], "<i8").tolist(), named[b"absent"]
+            wide, at = ids.astype("<u4"), 0
+            for end, doc_id, none in zip(ends.tolist(), doc_ids, absent, strict=True):
+                yield None if none else doc_id, start, before + end - start, zlib.crc32(wide[at:end], crc)
+                at, start, crc = end, before + end, 0
+            crc = zlib.crc32(wide[at:real], crc)
+            before += real
 
     def close(self) -> None:
         self.source.close()
@@ -198,46 +221,43 @@ def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, width: int =
         context = TaskContext.get()
         part = context.partitionId()
         uri = f"{folder}/part-{part:06d}-{context.taskAttemptId()}.arrow"
-        enc, out, rows = encoder(tokenizer), None, []
+        enc, out = encoder(tokenizer), None
         for ids, raws in tb.blocks(batches, "doc_id", "text"):
             out = out or Writer(uri, width, enc.tk.get_vocab_size() <= 1 << 16)
             for i, raw in zip(ids, enc.encode([(r or b"").decode("utf-8", "replace") for r in raws]), strict=True):
-                at = out.count
-                out.add(raw + tail)
-                rows.append((i, at, out.count - at))
+                out.add(i, raw + tail)
         if out:
             out.close()
-            i, at, n = (pa.array([r[k] for r in rows], pa.int64()) for k in range(3))
-            fixed = [pa.array([v] * len(rows), t) for v, t in ((uri, pa.string()), (part, pa.int32()), (out.count, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([i, fixed[0], fixed[1], at, n, fixed[2]], names=[x.split()[0] for x in INDEX.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([part], pa.int32()), pa.array([out.documents]), pa.array([out.count])], names=[x.split()[0] for x in INDEX.split(", ")])
 
-    n = partitions or shuffle_partitions(spark)
+    n = partitions or max(shuffle_partitions(spark), planned_bytes(docs) // FILE_BYTES)
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(run, INDEX), "token-index")
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The input's size as the plan has it; no job."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0  # unknown
+
+
 def read(index: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files that index names."""
-    files = index.groupBy("part").agg(F.first("file_tokens").alias("held"))
-    before = files.alias("f").join(files.alias("e"), F.col("e.part") < F.col("f.part"), "left").groupBy("f.part").agg(F.coalesce(F.sum("e.held"), F.lit(0)).alias("before"))
+    """doc_id, start, n_tokens and ids_crc32 of every document, all from the files that index names; a task reads whole files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, data = None, None
+        kinds = (pa.int64(),) * 4
         for batch in batches:
-            crcs = []
-            for file, at, n in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "n_tokens")), strict=True):
-                if file != name:
-                    if data:
-                        data.close()
-                    name, data = file, Sequences(file)
-                crc = 0
-                for part in data.span(at, n):
-                    crc = zlib.crc32(part.astype("<u4"), crc)
-                crcs.append(crc)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crcs, pa.int64())], names=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    placed = index.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "file", "at")
-    return placed.mapInArrow(run, SCHEMA)
+            for file, before in zip(batch.column("file").to_pylist(), batch.column("before").to_pylist(), strict=True):
+                data = Sequences(file)
+                found = data.documents()
+                while some := list(itertools.islice(found, 4096)):
+                    i, at, n, crc = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((i, [before + x for x in at], n, crc), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                data.close()
+
+    before = F.coalesce(F.sum("file_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = index.select("file", "part", before.alias("before"))  # a row a file
+    return files.repartition(max(shuffle_partitions(index.sparkSession), 1), "part").select("file", "before").mapInArrow(run, SCHEMA)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,7 +173,9 @@ def test_token_files(spark):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     one = index.orderBy("part").first()
+    assert index.agg({"documents": "sum"}).first()[0] == len(TEXTS)
     data = token_files.Sequences(one.file)
+    assert [d[:2] for d in data.documents()][:2] == [(0, 0), (1, 1)]
     assert data.sequence(0).base is not None and data.sequence(0, "mask").sum() == min(64, one.file_tokens)
     assert token_files.read(token_files.write(frame(spark, []), new_dir(spark, "t"))).count() == 0
 
