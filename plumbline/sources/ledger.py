@@ -1,4 +1,4 @@
-"""Versioned Parquet state with one pointer: a commit is a new directory, then one rename.
+"""The trade ledger: versioned tables with one pointer.
 
 Tables: markets (dimension and checkpoint), rows (first-writer fingerprint index), pages (commit log),
 cursor_history (cursors of the traversal under way).  A failed commit leaves the pointer where it was.
@@ -7,19 +7,17 @@ cursor_history (cursors of the traversal under way).  A failed commit leaves the
 from __future__ import annotations
 
 import json
-import os
-import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from plumbline.operators import trades
 from plumbline.operators.contracts import ContractError, first_writer
 from plumbline.sources.evidence import Archive, canonical, sha256
+from plumbline.sources.store import Store
 
 SCHEMAS = {
     "markets": "condition string, event_id string, source_group string, closed boolean, metadata string, discovered double, last_attempt double, cursor string, exhausted boolean, closure_refresh string",
@@ -45,35 +43,16 @@ def committed(next_cursor: Column, refresh: Column) -> Column:
     return F.when(next_cursor.isNull() & (refresh == "active"), "none").otherwise(refresh)
 
 
-class Ledger:
-    def __init__(self, spark: SparkSession, root: str | Path) -> None:
-        self.spark, self.root = spark, Path(root)
-        self.pointer = self.root / "CURRENT"
-        self.root.mkdir(parents=True, exist_ok=True)
-
-    @property
-    def version(self) -> str | None:
-        return self.pointer.read_text().strip() if self.pointer.exists() else None
+class Ledger(Store):
+    schemas = SCHEMAS
 
     def read(self, name: str) -> DataFrame:
-        if self.version is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        df = self.spark.read.parquet(f"file://{self.root}/{self.version}/{name}")
+        df = super().read(name)
         if name == "markets" and "closure_refresh" not in df.columns:
             # an older ledger can't prove that a closed market was exhausted after its closure
-            df = df.withColumn("closure_refresh", F.when(F.col("closed"), "pending").otherwise("none"))
+            df = df.withColumn("closure_refresh", F.when(F.col("closed"), REFRESH[1]).otherwise(REFRESH[0]))
         return df
 
-    def commit(self, **tables: DataFrame) -> str:
-        """All tables in a new version (those not given are carried over), then the pointer."""
-        version = f"v-{uuid.uuid4().hex}"
-        for name in SCHEMAS:
-            tables.get(name, self.read(name)).write.parquet(f"file://{self.root}/{version}/{name}")
-        part = self.root / f"CURRENT.{version}"
-        part.write_text(version)
-        os.replace(part, self.pointer)
-        return version
-
     def register(self, manifest: list[dict], now: float) -> None:
         """Conditional upsert: what collection has reached stays, the refresh state follows the closed flag."""
         if not isinstance(manifest, list) or not 1 <= len(manifest) <= 100:
@@ -128,7 +107,7 @@ class Ledger:
         counts = pages.groupBy("condition").agg(F.count_if("sound").alias("pages"), F.sum(F.when(F.col("sound"), F.col("row_count")).otherwise(0)).alias("rows"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("page_id"))).alias("error"), (F.count_if(F.col("sound") & F.col("next_cursor").isNull()) > 0).alias("endpoint_exhausted"))
         counts = counts.join(new.groupBy("condition").agg(F.count("*").alias("inserted")), "condition", "left")
         out = {r["condition"]: {**r.asDict(), "identical_rows": r["rows"] - (r["inserted"] or 0)} for r in counts.collect()}
-        self.commit(rows=kept.unionByName(new.drop("page_id")), pages=self.read("pages").unionByName(log), markets=markets, cursor_history=cursors)
+        self.commit({"rows": new.drop("page_id"), "pages": log}, markets=markets, cursor_history=cursors)
         return out
 
 
