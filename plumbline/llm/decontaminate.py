@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import table, written
+from plumbline.llm.shared import table, unused, written
 
 WINDOW, GRAM = 10, 4
 SPAN = WINDOW - GRAM + 1
@@ -131,9 +131,9 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without contaminated ones; all columns stay as they are."""
-    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string"))
+    key, name = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string")), unused(docs, "row_key")
     bad = written(hits(keyed(docs), benchmark).select("row_key").distinct(), "contaminated")
-    return docs.withColumn("row_key__", key).join(bad.withColumnRenamed("row_key", "row_key__"), "row_key__", "left_anti").select(*docs.columns)
+    return docs.withColumn(name, key).join(bad.withColumnRenamed("row_key", name), name, "left_anti").select(*docs.columns)
 
 
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

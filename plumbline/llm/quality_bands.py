@@ -12,7 +12,7 @@ Cases: null and empty texts have no words and fail the base rule (``n_words``
 0); their ratio is null.  Repeated rows and ties are judged row by row.  An
 empty table gives an empty result.  Columns beyond ``doc_id`` and ``text``
 are not read, so clashing names do no harm.  Texts of any length are
-compressed in streaming form chunk by chunk, never cut.
+compressed whole and chunk by chunk, never cut.
 """
 
 from __future__ import annotations

@@ -49,6 +49,9 @@ def test_quality_counts(spark):
         at = {p for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for p in (k, k + 1, k + 2)}
         assert (got[i].n_words, got[i].word_chars, got[i].n_repeat_words) == (len(w), sum(map(len, w)), len(at))
         assert got[i].base_failed == (len(w) < 50 or 100 * len(at) > 50 * len(w))
+        lines = (t or "").split("\n")
+        assert got[i].n_symbols == sum(c in "#*$%&|<>" for c in t or "")
+        assert got[i].n_dup_lines == sum(bool(words(x)) and x in lines[:k] for k, x in enumerate(lines))
     assert got[5].kept and got[12].kept and not got[10].kept and not got[0].kept
     assert quality_bands.quality(frame(spark, [])).count() == 0
     kept = quality_bands.kept_documents(frame(spark))
@@ -260,15 +263,20 @@ def weighted_sets(texts):
     return out
 
 
-def test_near_dedup(spark):
-    got, sets = rows(dart_minhash.classes(frame(spark))), weighted_sets(TEXTS)
-    least = list(range(len(TEXTS)))
-    for _ in TEXTS:
-        for i in range(len(TEXTS)):
+def brute_classes(texts):
+    """Least place of each text's class, by comparing all pairs."""
+    sets, least = weighted_sets(texts), list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
             for j in range(i):
                 both = sum((sets[i] & sets[j]).values())
                 if both and both / (sum(sets[i].values()) + sum(sets[j].values()) - both) >= 0.8:
                     least[i] = least[j] = min(least[i], least[j])
+    return least
+
+
+def test_near_dedup(spark):
+    got, least = rows(dart_minhash.classes(frame(spark))), brute_classes(TEXTS)
     assert [got[i].class_id for i in range(len(TEXTS))] == least
     assert {r.doc_id for r in dart_minhash.deduped(frame(spark)).collect()} == set(least)
     assert dart_minhash.classes(frame(spark, [])).count() == 0
@@ -517,14 +525,60 @@ def test_url_rules_change_verdicts_on_the_tables(spark, sf):
     assert out.where("rule IS NULL AND verdict = 'block'").count() > 0 and out.where("rule IS NULL AND verdict = 'allow'").count() > 0
 
 
-def test_pipeline_stages(spark, tmp_path):
+def brute_pipeline(data, items):
+    """What the five stages leave of (doc_id, text) rows, with the digests of ids and decoded text."""
+    import public_tokenizers
+    import zstandard
+    from tokenizers import Tokenizer
+
+    def good(t):
+        w = words(t)
+        c = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        again = {p for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for p in (k, k + 1, k + 2)}
+        raw = (t or "").encode()
+        return len(w) >= 50 and 2 * len(again) <= len(w) and quality_bands.verdict(len(raw), *quality_bands.compression(raw, zstandard.ZstdCompressor(level=quality_bands.LEVEL))) is None
+
+    data = [r for r in data if good(r[1])]
+    order = sorted(range(len(data)), key=lambda k: (data[k][0] is None, data[k][0] or 0))
+    known = [k for k in order if data[k][0] is not None]
+    least = brute_classes([data[k][1] for k in known])
+    data = [data[known[k]] for k in range(len(known)) if data[known[least[k]]][0] == data[known[k]][0]] + [data[k] for k in order if data[k][0] is None]
+    first = {}
+    for i, t in data:
+        w = words(t)
+        for k in range(len(w) - 12):
+            if i is not None:
+                first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), i))
+    out = []
+    tk = Tokenizer.from_file(public_tokenizers.path(bpe_stream.TOKENIZER))
+    for i, t in data:
+        w = words(t)
+        gone = {k + j for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for j in range(13)}
+        t = " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t
+        if not brute_hits(t, items)[-1]:
+            ids = tk.encode(t, add_special_tokens=False).ids
+            out.append((i, len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tk.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    return out
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
     import corpus_pipeline
 
-    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, " ".join(words(prose(2, 40))[3:20]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    out = rows(corpus_pipeline.run(spark, str(tmp_path)))
-    assert set(out) == {5, 9, 12}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "MinHash near-dedup", "substring dedup", "benchmark decontamination", "BPE encoding and decoding"]
+    data = [*enumerate(TEXTS), (7, TEXTS[7]), (None, prose(31, 70)), (None, None), (20, f"{prose(32, 60)} {SHARED}"), (21, f"{prose(33, 70)} {' '.join(words(prose(2, 40))[3:20])}"), (22, prose(34, 60).upper())]
+    items = [(1, " ".join(words(prose(2, 40))[3:20])), (2, None)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, gone_id string, late_row string, late_positions string, row_key string, Row_Key_ string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "a", "b", "c", "d", "e") for i, t in data], names)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(brute_pipeline(data, items), key=str) and len(got) >= 5
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_rows_without_id(spark):
