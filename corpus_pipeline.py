@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs.  Documents that a filter rejects
 are gone; texts that a stage changes stay changed.
+
+Cases, in every stage: a null or empty text has no words, so the quality rules reject it and later stages leave it as it is.
+Rows without doc_id are judged by the quality rules and by decontamination, and kept as they are by the two dedups.
+Repeated rows are kept or go together.  Columns of any name are carried along, whatever they clash with, and only
+doc_id, text and n_chars mean something.  An empty table gives an empty table.  Very long texts go through whole.
 """
 
 from __future__ import annotations
