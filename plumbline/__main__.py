@@ -11,7 +11,7 @@ from plumbline.operators import audit, cube, grids, seasons, weather
 from plumbline.operators.contracts import ContractError
 from plumbline.session import session
 from plumbline.sources.ledger import Ledger
-from plumbline.sources.sinks import write_csv, write_json
+from plumbline.sources.sinks import fresh_dir, write_csv, write_json
 
 PATCH = "field_id string, item_id string, datetime string, available_at string, red array<array<double>>, nir array<array<double>>, swir16 array<array<double>>, scl array<array<double>>, geometry_mask array<array<boolean>>, assets string"
 
@@ -39,8 +39,7 @@ def main(args: list[str] | None = None) -> int:
             found = audit.verify(spark, f"file://{Path(a.root).resolve()}", Ledger(spark, Path(a.root).resolve() / "ledger"))
             print(json.dumps(found, indent=2, sort_keys=True))
             return 0 if found["passed"] else 2
-        out = Path(a.output)
-        out.mkdir(parents=True, exist_ok=True)
+        out = fresh_dir(a.output)
         if a.what == "weather":
             daily = weather.daily_weather(spark.read.option("header", True).csv(a.hourly), a.start, a.end, available_by=a.available_by)
             write_csv(daily, out / "weather_daily.csv", ["date"])
@@ -57,7 +56,7 @@ def main(args: list[str] | None = None) -> int:
         else:
             data = json.loads(Path(a.document).read_text())
             write_csv(cube.cube_rows(spark, data, include_missing=a.include_missing), out / "public_table.csv", data["id"])
-    except (ContractError, FileNotFoundError) as e:
+    except (ContractError, FileNotFoundError, FileExistsError) as e:
         print(e, file=sys.stderr)
         return 2
     return 0

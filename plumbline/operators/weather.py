@@ -8,7 +8,9 @@ zero: totals are null unless the cycle is whole, and a null ends every running s
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -108,11 +110,23 @@ def weather_summary(daily: DataFrame) -> DataFrame:
     )
 
 
-def request_plan(df_session, start: str, end: str) -> DataFrame:
-    """year, month, days, times of the hourly requests, and the boundary hour that closes the last rain cycle."""
+def corners(area: Sequence[float]) -> list[float]:
+    """north, west, south, east within WGS84, checked."""
+    if len(area) != 4 or not all(map(math.isfinite, area)):
+        raise ContractError("an area has four finite coordinates")
+    (north, west, south, east), bounds = area, (90.0, 180.0)
+    if not (south < north and west < east and max(map(abs, (north, south))) <= bounds[0] and max(map(abs, (west, east))) <= bounds[1]):
+        raise ContractError("an area is north, west, south, east within WGS84")
+    return [float(x) for x in area]
+
+
+def request_plan(df_session, start: str, end: str, area: Sequence[float] | None = None) -> DataFrame:
+    """year, month, days, times (and area, where one is given) of the hourly requests, and the boundary hour that closes the last rain cycle."""
     first, last = day(start), day(end)
     if last < first:
         raise ContractError("end must be on or after start")
+    if area is not None:
+        return request_plan(df_session, start, end).withColumn("area", F.array(*map(F.lit, corners(area))))
     return df_session.sql(f"""
         WITH d AS (SELECT explode(sequence(DATE'{first}', DATE'{last}', INTERVAL 1 DAY)) AS d)
         SELECT date_format(d, 'yyyy') AS year, date_format(d, 'MM') AS month, array_sort(collect_list(date_format(d, 'dd'))) AS days,

@@ -157,3 +157,20 @@ def test_catalog(spark, tmp_path):
 def test_request_plan(spark):
     plan = weather.request_plan(spark, "2024-12-30", "2024-12-31").collect()
     assert [(r.year, r.month, r.days) for r in plan] == [("2024", "12", ["30", "31"]), ("2025", "01", ["01"])] and plan[-1].times == ["00:00"]
+
+
+def test_request_area(spark):
+    plan = weather.request_plan(spark, "2024-12-31", "2024-12-31", (51, 4.5, 50, 6)).collect()
+    assert [r.area for r in plan] == [[51.0, 4.5, 50.0, 6.0]] * 2
+    for bad in ((50, 4, 51, 6), (51, 6, 50, 4), (91, 4, 50, 6), (51, -181, 50, 6), (51, 4, 50), (51, 4, float("nan"), 6)):
+        with pytest.raises(ContractError):
+            weather.request_plan(spark, "2024-12-31", "2024-12-31", bad)
+
+
+def test_command_line_writes_into_a_fresh_folder(spark, tmp_path, capsys):
+    from plumbline.__main__ import main
+
+    (tmp_path / "cube.json").write_text(json.dumps(CUBE))
+    out = str(tmp_path / "out")
+    assert main(["cube", str(tmp_path / "cube.json"), out]) == 0 and (tmp_path / "out" / "public_table.csv").read_text().count("\n") >= 3
+    assert main(["cube", str(tmp_path / "cube.json"), out]) == 2 and "not empty" in capsys.readouterr().err
