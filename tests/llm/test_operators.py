@@ -312,8 +312,51 @@ def test_signature_estimates_weighted_jaccard():
     assert abs(hits / (30 * dart_minhash.K) - same / 30) < 0.03
 
 
+def brute_scores(texts, held):
+    """log10 probability of each text by a suffix tree in dictionaries: contexts of two words, one and none."""
+    end = None  # a symbol that no word is
+    runs = [[*words(t, True), end] for t in texts]
+    one, two = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    root = collections.Counter()
+    for i, run in enumerate(runs):
+        if not held(i):
+            root.update(run)
+            for k, w in enumerate(run):
+                before = [run[j] if j >= 0 else end for j in (k - 2, k - 1)]
+                one[before[1]][w] += 1
+                two[tuple(before)][w] += 1
+    total = sum(root.values()) + len(root) + 1
+    p0 = lambda w: (root[w] + 1) / total
+
+    def retained(table, below):
+        out = {}
+        for context, nexts in table.items():
+            n = sum(nexts.values())
+            rest = max(1e-9, 1 - sum((c - 0.75) / n for c in nexts.values()))
+            p = {w: (c - 0.75) / n + rest * below(context, w) for w, c in nexts.items()}
+            if sum(c / n * math.log(p[w] / below(context, w)) for w, c in nexts.items()) >= 0.01:
+                out[context] = (p, rest)
+        return out
+
+    def of(level, context, w, below):
+        p, rest = level.get(context, ({}, 1.0))
+        return p[w] if w in p else rest * below
+
+    first = retained(one, lambda c, w: p0(w))
+    p1 = lambda c, w: of(first, c, w, p0(w))
+    second = retained(two, lambda c, w: p1(c[1], w))
+    out = []
+    for run in runs:
+        symbols = [w if w in root else "\x00unseen" for w in run]
+        before = [(symbols[k - 2] if k > 1 else end, symbols[k - 1] if k else end) for k in range(len(run))]
+        out.append(sum(math.log10(of(second, c, w, p1(c[1], w))) for c, w in zip(before, symbols, strict=True)))
+    return out
+
+
 def test_language_model(spark):
-    texts = TEXTS + [prose(k, 50) for k in range(20)]
+    r = random.Random(7)
+    chain = ["a b c d a b c d a b e", "the cat sat on the mat the cat sat"]
+    texts = TEXTS + [prose(k, 50) for k in range(20)] + chain * 3 + [" ".join(r.choices("abc", k=30)) for _ in range(10)]
     got = rows(suffix_tree_lm.scored(frame(spark, texts)))
     c, ends = collections.Counter(), 0
     for i, t in enumerate(texts):
@@ -321,11 +364,13 @@ def test_language_model(spark):
             c.update(words(t, True))
             ends += 1
     n, v = sum(c.values()) + ends, len(c) + 1
+    want = brute_scores(texts, suffix_tree_lm.held_out)
     for i, t in enumerate(texts):
         w = words(t, True)
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w) + 1, sum(x in c for x in w) + 1, n)
         assert got[i].base_score == pytest.approx(base, rel=1e-9) and got[i].score < 0
+        assert got[i].score == pytest.approx(want[i], rel=1e-6), i
     assert got[5].score > got[5].base_score
     assert suffix_tree_lm.scored(frame(spark, [])).count() == 0
 
