@@ -40,7 +40,7 @@ from plumbline.llm.shared import shuffle_partitions, table, unused
 
 N, ROWS, MOST_CELLS, LEAST_CELLS, CHUNKS = 13, 2, 1 << 28, 1 << 16, 64
 #: Windows that a task holds before it sends them on; bytes of text for each bucket of the exact pass.
-HELD, BUCKET_BYTES = 1 << 19, 8 << 20
+HELD, BUCKET_BYTES = 1 << 20, 8 << 20
 _ROW = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 PACKED = "doc_id long, row long, packed binary"
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -170,7 +170,7 @@ def found(docs: DataFrame, n: int = N) -> DataFrame:
             held.clear()
             order, late = lost(h1, h2, ids)
             yield parted(rows[order[late]], pos[order[late]], buckets)
-            some = order[~late]
+            some = np.sort(order[~late])  # by document, so that their places compress
             bucket = (h1[some] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             some, bucket = some[by], bucket[by]
