@@ -375,6 +375,30 @@ def test_language_model(spark):
     assert suffix_tree_lm.scored(frame(spark, [])).count() == 0
 
 
+def test_language_model_keeps_what_is_rare_in_a_large_corpus(spark):
+    """Words, pairs and triples seen once count in a million tokens as in a hundred."""
+    r = random.Random(3)
+    passages = [" ".join(f"p{k}x{j}" for j in range(60)) for k in range(20)]
+    texts = passages + [" ".join(r.choices("abcdefgh", k=4000)) for _ in range(466)]
+    texts += passages
+    out = [i for i in range(len(texts)) if suffix_tree_lm.held_out(i)]
+    assert any(i >= 486 for i in out) and sum(len(t.split()) for i, t in enumerate(texts) if i not in out) > 1.2 * 2**20
+    got, want = rows(suffix_tree_lm.scored(frame(spark, texts))), brute_scores(texts, suffix_tree_lm.held_out)
+    for i in range(len(texts)):
+        assert got[i].score == pytest.approx(want[i], rel=1e-6), i
+    assert all(got[i].score > got[i].base_score / 2 for i in out if i >= 486)  # its other copy is in training
+
+
+def test_language_model_does_not_depend_on_pieces(spark):
+    """Sums of many pieces equal those of one."""
+    texts = [t for t in TEXTS if len(t or "") < 2000] + ["the cat sat on the mat", "the cat sat", "on the mat the cat"] * 4
+    want = brute_scores(texts, suffix_tree_lm.held_out)
+    for docs, least, most in ((frame(spark, texts).coalesce(1), 1, 1), (frame(spark, texts).repartition(9), 4, 9)):
+        assert least <= suffix_tree_lm.pieces(docs).count() <= most
+        got = rows(suffix_tree_lm.scored(docs))
+        assert [got[i].score for i in range(len(texts))] == pytest.approx(want, rel=1e-6)
+
+
 def brute_hits(text, items, n=10):
     take = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if w]
     w, at, names = take(text), set(), set()
