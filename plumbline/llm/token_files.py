@@ -21,16 +21,20 @@ are never read.
 Cases: rows without doc_id come first; a null text counts as the empty text (its ids are just the end id).  Repeated
 doc_ids stay next to each other, in the order of their bytes.  An empty table
 gives no files and an empty result.  Columns beyond ``doc_id`` and ``text``
-are not read.  Long texts are encoded chunk by chunk.
+are not read.  Texts are encoded word by word, those with two white space
+characters in a row whole.
 """
 
 from __future__ import annotations
 
 import bisect
 import itertools
+import json
 import re
+import string
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +44,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import textblocks as tb
+from plumbline.llm.bpe_stream import LETTER
 from plumbline.llm.shared import new_dir, shuffle_partitions, table, written
 
 TOKENIZER, END, WIDTH = "byte_bpe_50k.json", 0, 2048
 #: Sequences of a record batch; documents whose ids are held at once while reading.
 BATCH = 256
-KEPT, LONG = 400_000, 48
+#: Bytes of words and of pieces kept in each of two generations in a worker's memory, and those of an entry beyond its characters and ids.
+WORDS, PIECES, ENTRY = 128 << 20, 16 << 20, 150
+#: Characters of the longest text kept, and of the longest word that is not encoded as a text is.
+LONG, SHORT = 48, 4096
 DOUBLE = re.compile(r"\s\s")
 
+
+def latin(kind: str) -> str:
+    """The visible characters below U+0250 of a Unicode category; all of them are assigned since Unicode 5.0."""
+    return "".join(re.escape(chr(c)) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250)) if unicodedata.category(chr(c))[0] == kind)
+
+
+LATIN = re.compile("[!-~\xa1-\u024f]+").fullmatch
+#: The file's split pattern for a word of these characters, after a space or none.
+PIECE = re.compile(rf" ?[{latin('L')}]+|'(?:[stmd]|re|ve|ll)| ?[{latin('N')}]+| ?[^ {latin('L')}{latin('N')}]+").findall
+SPACE, SIGNS = LETTER[32], frozenset(string.punctuation)
+
 #: Bytes of input for a file.
 FILE_BYTES = 64 << 20
 INDEX = "file string, part int, documents long, file_tokens long"
@@ -58,15 +77,41 @@ def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri)
 
 
+class Uncut(ValueError):
+    """White space at a word's side, so that its text cannot be cut into words."""
+
+
+class Kept(dict):
+    """Ids of texts met lately, as bytes; others come from `make`.
+
+    After `most` bytes of new ones, those before are let go unless they are met again.  Long texts are not kept.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        self.make, self.most, self.held, self.before = make, most, 0, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.before.get(text) or self.make(text)
+        if len(text) <= LONG:
+            if self.held >= self.most:
+                self.before, self.held = dict(self), 0
+                self.clear()
+            self[text] = ids
+            self.held += ENTRY + len(text) + len(ids)
+        return ids
+
+
 class Encoder:
-    """The tokenizers library, asked once for each word.
+    """The tokenizers library, asked once for each piece of a word.
 
     This file's split pattern starts a token at each space between two
     non-space characters, and makes a single line feed between two non-space
     characters a token of its own.  So the ids of a text without two white
     space characters in a row are those of its space-led words and lines, in
-    order; any other text goes to the library whole.  New words are encoded
-    together, parted by line feeds; words met before are kept.
+    order; any other text goes to the library whole.  Words met lately are
+    kept.  Other words are split into pieces (runs of letters, of digits, of
+    other signs), by ``PIECE`` if they are of Latin characters, else by the
+    library; the library's model gives the ids of each new piece.
     """
 
     def __init__(self, name: str) -> None:
@@ -76,43 +121,63 @@ class Encoder:
         self.tk = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
         self.tk.no_padding()
         self.tk.no_truncation()
-        feed = self.tk.encode("\n", add_special_tokens=False).ids
-        assert len(feed) == 1
-        self.feed = feed[0]
-        self.kept: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.asarray(self.tk.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _new(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of each word: space-led, unless a line feed leads it."""
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            ids = self._whole("\n".join(w[1:] if w[0] == "\n" else f" {w}" for w in some))
-            ends = np.append(np.flatnonzero(ids == self.feed), len(ids)).tolist()
-            raw, start = ids.tobytes(), 0
-            lead = np.asarray([self.feed], "<u4").tobytes()
-            for w, end in zip(some, ends, strict=True):
-                piece = raw[4 * start : 4 * end]
-                yield lead + piece if w[0] == "\n" else piece
-                start = end + 1
+        self.tokenize = self.tk.model.tokenize
+        self.raw = [i.to_bytes(4, "little") for i in range(max(self.tk.get_vocab().values()) + 1)]
+        self.cuts = self._splits_as_piece()
+        self.feed = self._whole("\n") if self.cuts else b""
+        assert not self.cuts or len(self.feed) == 4
+        self.words, self.pieces = Kept(self._word, WORDS), Kept(self._piece, PIECES)
+
+    def _splits_as_piece(self) -> bool:
+        """Whether the file's split is that of ``PIECE``; texts go to the library whole otherwise."""
+        if self.tk.normalizer or not self.tk.pre_tokenizer:
+            return False
+        split = json.loads(self.tk.pre_tokenizer.__getstate__())
+        added = self.tk.get_added_tokens_decoder().values()
+        return split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and all("<|" in t.content for t in added)
+
+    def _ids(self, letters: str) -> bytes:
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.tokenize(letters)])
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece, which may begin with a space."""
+        return self._ids(piece.replace(" ", SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(LETTER))
+
+    def _word(self, word: str) -> bytes:
+        """A word's ids: space-led, unless a line feed leads it."""
+        long = len(word) > SHORT
+        if word.isascii() and not long:
+            if word.isalpha():
+                return self._ids(SPACE + word)
+            if word[-1:] in SIGNS and word[:-1].isalpha():
+                return self.words[word[:-1]] + self.pieces[word[-1]]
+        lead, bare = (self.feed, word[1:]) if word[:1] == "\n" else (b"", word)
+        if not long and LATIN(bare):
+            if lead:
+                return lead + b"".join(map(self.pieces.__getitem__, PIECE(bare)))
+            first, *rest = PIECE(" " + bare)
+            return self.words[first[1:]] + b"".join(map(self.pieces.__getitem__, rest)) if rest else self._piece(first)
+        if not bare or bare[0].isspace() or bare[-1].isspace() or DOUBLE.search(bare):
+            raise Uncut
+        led = bare if lead else " " + bare
+        return lead + (self._whole(led) if long else b"".join([self._ids(letters) for letters, _ in self.tk.pre_tokenizer.pre_tokenize_str(led)]))
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tk.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _text(self, text: str) -> bytes:
+        if not self.cuts or not text or "<|" in text or "\n\n" in text or "  " in text or text[-1].isspace():
+            return self._whole(text)  # other white space at a word's side shows in the word
+        words = ("\n" + text).replace("\n", " \n")[1:].split(" ")  # as if a line feed came before
+        try:
+            return b"".join(map(self.words.__getitem__, words))[4:]
+        except Uncut:
+            return self._whole(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without the end id."""
-        kept = self.kept
-        if len(kept) > KEPT:
-            kept.clear()
-        cut: list[list[str] | None] = []
-        for text in texts:
-            whole = not text or "<|" in text or DOUBLE.search(text) or text[0].isspace() or text[-1].isspace()
-            cut.append(None if whole else ("\n" + text).replace("\n", " \n")[1:].split(" "))
-        new = list({w for words in cut if words for w in words} - kept.keys())
-        kept.update(zip(new, self._new(new), strict=True))
-        out = [self._whole(text).tobytes() if words is None else b"".join(map(kept.__getitem__, words))[4:] for text, words in zip(texts, cut, strict=True)]
-        for w in new:
-            if len(w) > LONG:
-                del kept[w]
-        return out
+        return list(map(self._text, texts))
 
 
 _encoders: dict[str, Encoder] = {}

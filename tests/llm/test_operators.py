@@ -183,6 +183,54 @@ def test_token_files(spark):
     assert token_files.read(token_files.write(frame(spark, []), new_dir(spark, "t"))).count() == 0
 
 
+def test_token_files_ask_the_library_once_a_piece():
+    asked, enc = [], token_files.Encoder(token_files.TOKENIZER)
+
+    class Spy:
+        def __init__(self, tk):
+            self.tk = tk
+
+        def __getattr__(self, name):
+            return getattr(self.tk, name)
+
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return self.tk.encode_batch_fast(texts, **more)
+
+    model, enc.tk = enc.tk.model.tokenize, Spy(enc.tk)
+    enc.tokenize = lambda letters: asked.append(letters) or model(letters)
+    some = list(dict.fromkeys(prose(7, 2000).split()))
+    texts = [" ".join(w + sign for w in some) for sign in ("", ",", ".", ");", "'s")]
+    enc.encode(texts)
+    enc.encode(texts[::-1])
+    assert sum(map(len, asked)) < 1.1 * len(texts[0])
+
+
+def test_token_files_keep_what_comes_again():
+    made = []
+    kept = token_files.Kept(lambda t: made.append(t) or t.encode(), 3 * (token_files.ENTRY + 2))
+    for t in "abacadaeafagahaiajaka" + "x" * 2:
+        assert kept[t] == t.encode() and len(kept) + len(kept.before) <= 6
+    assert made.count("a") == made.count("x") == 1 and len(made) == 12
+    assert kept["y" * 99] and "y" * 99 not in kept
+
+
+@pytest.mark.parametrize("name", [token_files.TOKENIZER, bpe_stream.TOKENIZER])
+def test_token_files_encode_odd_words_as_the_library(monkeypatch, name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "WORDS", 9000, raising=False)
+    monkeypatch.setattr(token_files, "PIECES", 3000, raising=False)
+    monkeypatch.setattr(token_files, "SHORT", 60, raising=False)
+    tk, enc, r = Tokenizer.from_file(public_tokenizers.path(name)), token_files.Encoder(name), random.Random(3)
+    odd = [*"aBéßªº²½7٣'_-.,日яЯ\u0301🙂ĠĊĀŉǅƻɐİⅧ①", *"\0\x7f\xad\u200b\u180e\ufeff", "'s", "'re", "'LL", "<|", "<|endoftext|>", "y" * 70, *" \n \n \t\r\xa0\x85\x1c\x1f\u2028\u3000"]
+    texts = [t or "" for t in TEXTS if len(t or "") < 9000] + ["".join(r.choices(odd, k=r.randint(1, 12))) for _ in range(3000)]
+    texts += [f"a{c}b {c}'s 1{c}.\n{c}z" for c in map(chr, [*range(0x3000), 0x10D4A, 0x1C800, 0x1D7D8])]
+    for t, raw in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_warc(spark):
     html = ["x" * 1500, "x" * 1500, "short", "short", None, "", "é" * 600, "é" * 600, "y" * 1000]
     pages = spark.createDataFrame([(i, f"http://a/{i} b" if i else None, h, "z") for i, h in enumerate(html)], "page_id long, url string, html string, sha1 string")
