@@ -21,8 +21,7 @@ are never read.
 Cases: rows without doc_id come first; a null text counts as the empty text (its ids are just the end id).  Repeated
 doc_ids stay next to each other, in the order of their bytes.  An empty table
 gives no files and an empty result.  Columns beyond ``doc_id`` and ``text``
-are not read.  Texts are encoded word by word, those with two white space
-characters in a row whole.
+are not read.  Texts are encoded word by word.
 """
 
 from __future__ import annotations
@@ -65,6 +64,9 @@ def latin(kind: str) -> str:
 LATIN = re.compile("[!-~\xa1-\u024f]+").fullmatch
 #: The file's split pattern for a word of these characters, after a space or none.
 PIECE = re.compile(rf" ?[{latin('L')}]+|'(?:[stmd]|re|ve|ll)| ?[{latin('N')}]+| ?[^ {latin('L')}{latin('N')}]+").findall
+#: White space of the pattern (Unicode White_Space), and the pattern's runs of it with the words between.
+WHITE = frozenset(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+RUNS = re.compile(" ?[^{0}]+|[{0}]+(?![^{0}])|[{0}]".format("".join(sorted(WHITE)))).findall
 SPACE, SIGNS = LETTER[32], frozenset(string.punctuation)
 
 #: Bytes of input for a file.
@@ -108,8 +110,11 @@ class Encoder:
     non-space characters, and makes a single line feed between two non-space
     characters a token of its own.  So the ids of a text without two white
     space characters in a row are those of its space-led words and lines, in
-    order; any other text goes to the library whole.  Words met lately are
-    kept.  Other words are split into pieces (runs of letters, of digits, of
+    order.  A longer run of white space is a token but for its last character,
+    which leads the next word if it is a space and stands alone if not; a run
+    that ends the text is one token.  A text with an added token goes to the
+    library whole, and so does one with U+001C to U+001F at a word's side.
+    Words met lately are kept.  Other words are split into pieces (runs of letters, of digits, of
     other signs), by ``PIECE`` if they are of Latin characters, else by the
     library; the library's model gives the ids of each new piece.
     """
@@ -124,6 +129,7 @@ class Encoder:
         self.tokenize = self.tk.model.tokenize
         self.raw = [i.to_bytes(4, "little") for i in range(max(self.tk.get_vocab().values()) + 1)]
         self.cuts = self._splits_as_piece()
+        self.added = [t.content for t in self.tk.get_added_tokens_decoder().values()]
         self.feed = self._whole("\n") if self.cuts else b""
         assert not self.cuts or len(self.feed) == 4
         self.words, self.pieces = Kept(self._word, WORDS), Kept(self._piece, PIECES)
@@ -133,16 +139,17 @@ class Encoder:
         if self.tk.normalizer or not self.tk.pre_tokenizer:
             return False
         split = json.loads(self.tk.pre_tokenizer.__getstate__())
-        added = self.tk.get_added_tokens_decoder().values()
-        return split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and all("<|" in t.content for t in added)
+        return split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
 
     def _ids(self, letters: str) -> bytes:
         raw = self.raw
         return b"".join([raw[t.id] for t in self.tokenize(letters)])
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of a piece, which may begin with a space."""
-        return self._ids(piece.replace(" ", SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(LETTER))
+        """Ids of a piece, which may begin with a space, or of a run of white space."""
+        if len(piece) > SHORT:
+            return self._whole(piece)
+        return self._ids(piece.replace(" ", SPACE) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(LETTER))
 
     def _word(self, word: str) -> bytes:
         """A word's ids: space-led, unless a line feed leads it."""
@@ -167,14 +174,31 @@ class Encoder:
         return np.asarray(self.tk.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _text(self, text: str) -> bytes:
-        if not self.cuts or not text or "<|" in text or "\n\n" in text or "  " in text or text[-1].isspace():
-            return self._whole(text)  # other white space at a word's side shows in the word
-        words = ("\n" + text).replace("\n", " \n")[1:].split(" ")  # as if a line feed came before
+        if not self.cuts or not text or any(x in text for x in self.added):
+            return self._whole(text)
         try:
-            return b"".join(map(self.words.__getitem__, words))[4:]
+            if "\n\n" in text or "  " in text or text[-1].isspace():
+                return self._runs(text)
+            words = ("\n" + text).replace("\n", " \n")[1:].split(" ")  # as if a line feed came before
+            try:
+                return b"".join(map(self.words.__getitem__, words))[4:]
+            except Uncut:
+                return self._runs(text)
         except Uncut:
             return self._whole(text)
 
+    def _runs(self, text: str) -> bytes:
+        """Ids of a text with runs of white space."""
+        words, pieces, out = self.words, self.pieces, []
+        for part in RUNS(text):
+            if part[-1] in WHITE:
+                out.append(pieces[part])
+            elif part[0] == " ":
+                out.append(words[part[1:]])
+            else:
+                out.append(words["\n" + part][4:])
+        return b"".join(out)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without the end id."""
         return list(map(self._text, texts))
