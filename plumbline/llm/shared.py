@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch; as many as textblocks.blocks takes at once.
+BATCH = 1024
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,6 +53,17 @@ def dropped(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH rows in this session from here on (a smaller setting stays).
+
+    A JVM and a Python worker each hold the batch that passes between them, and the JVM's vectors grow by doubling; at Spark's
+    10,000 rows a batch is all the texts of a task.  No row is left out and no result depends on it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, with as many underscores as make it no column of df (in any case)."""
     held = {c.lower() for c in df.columns}
